@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, mixing, near_dup, quality, sharding, suffix_dedup, token_counts, url_filter
+from . import decontaminate, language_id, licenses, mixing, near_dup, quality, sharding, suffix_dedup, token_counts, url_filter
 from .common import table
 
 #: Host, path and verdict of the listed rules.
@@ -49,6 +49,13 @@ def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: a source is a directory tree with a folder for each hundred ids."""
+    path = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 100).cast("string"), F.col("doc_id").cast("string"))
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), path.alias("path"), "text")
+    return licenses.scan_licences(files).withColumnRenamed("id", "doc_id")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -60,4 +67,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"), "within")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_decontaminate, op3_suffix_dedup, op4_language_id, op5_quality, op6_sharding, op7_near_dup, op9_mixing, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_decontaminate, op3_suffix_dedup, op4_language_id, op5_quality, op6_sharding, op7_near_dup, op8_licenses, op9_mixing, op10_token_counts)}
