@@ -51,7 +51,7 @@ def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files: a source is a directory tree with a folder for each hundred ids."""
-    path = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 100).cast("string"), F.col("doc_id").cast("string"))
+    path = F.concat_ws("/", F.col("source"), F.floor(F.col("doc_id") / 100).cast("string"), F.col("doc_id").cast("string"))
     files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), path.alias("path"), "text")
     return licenses.scan_licences(files).withColumnRenamed("id", "doc_id")
 
