@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +27,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4
 #: Rounds in which each bucket is compared with one member, before the pairs that are left are compared.
 STAR_ROUNDS = 3
-#: Buckets with more classes than this are split by bands across the signature before their pairs are compared.
-SPLIT_ABOVE = 64
+#: Buckets of at most this many bags are expanded into pairs; larger ones are compared in blocks of this many bags.
+PAIRED, BLOCK = 12, 1024
+#: Distinct shingles that a block's product takes at a time.
+STRIPE = 2048
 #: Bytes of text hashed at a time.
 CHUNK = 2 << 20
 _GOLDEN, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -109,17 +112,13 @@ def bag_minhash(document: np.ndarray, shingle: np.ndarray, count: np.ndarray, n:
     return signature.reshape(n, size)
 
 
-def _keys(signature: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the bands (rows that follow each other) and of the bands across (one of each run of `bands`)."""
-    bits = signature.view(np.uint64)
-    along, across = bits.reshape(-1, bands, rows), bits.reshape(-1, rows, bands).transpose(0, 2, 1)
-    out = []
-    for salt, part in ((1, along), (2, across)):
-        key = np.full(part.shape[:2], np.uint64(salt)) + np.arange(bands, dtype=np.uint64) * _GOLDEN
-        for i in range(rows):
-            key = mix(key ^ part[:, :, i]) * _GOLDEN
-        out.append(key.view(np.int64))
-    return out[0], out[1]
+def _keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A key for each band of a signature."""
+    part = signature.view(np.uint64).reshape(-1, bands, rows)
+    key = np.zeros(part.shape[:2], dtype=np.uint64) + np.arange(bands, dtype=np.uint64) * _GOLDEN
+    for i in range(rows):
+        key = mix(key ^ part[:, :, i]) * _GOLDEN
+    return key.view(np.int64)
 
 
 def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -145,11 +144,11 @@ def _sketch(bands: int, rows: int, size: int):
             for a, b in _chunks(all_texts):
                 texts, n = all_texts[a:b], b - a
                 own = bags(*shingles(texts, size))
-                along, across = _keys(bag_minhash(*own, n, bands * rows), bands, rows)
+                keys = _keys(bag_minhash(*own, n, bands * rows), bands, rows)
                 sizes = np.bincount(own[0], weights=own[2], minlength=n).astype(np.int64)
                 bag = pa.array(_bag_hash(*own, n), mask=sizes == 0)
-                lists = [pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(x.ravel())) for x in (along, across)]
-                yield pa.RecordBatch.from_arrays([ids.slice(a, n), bag, pa.array(sizes), *lists], names=["doc_id", "bag", "n", "along", "across"])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([ids.slice(a, n), bag, pa.array(sizes), lists], names=["doc_id", "bag", "n", "keys"])
 
     return run
 
@@ -211,16 +210,17 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int =
     ignored. No rows: no rows.
 
     No bucket is expanded into pairs at first: in each round all bags of a bucket are compared with one of them, and
-    verified links merge components. Only pairs of bags that still lie in different components are then compared one
-    by one; in buckets of more than SPLIT_ABOVE such bags they must agree in a band across the signature as well.
+    verified links merge components. A bucket whose bags still lie in different components is then compared whole:
+    as pairs if it has at most PAIRED bags, else two blocks of BLOCK bags at a time, as a product of their incidence
+    matrices, which gives at most one link per bag. So no candidate is dropped and no task holds a whole bucket.
     """
     spark = docs.sparkSession
     ship(spark)
     narrow = docs.select(F.col("doc_id").cast("long"), "text")
-    made = narrow.mapInArrow(_sketch(bands, rows, size), "doc_id long, bag long, n long, along array<long>, across array<long>")
+    made = narrow.mapInArrow(_sketch(bands, rows, size), "doc_id long, bag long, n long, keys array<long>")
     made = stored(made, "sketches")
-    found = stored(made.where("bag is not null").groupBy("bag").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("along").alias("along"), F.first("across").alias("across")), "bags")
-    keys = found.select("bag", "n", "across", F.explode("along").alias("key"))
+    found = stored(made.where("bag is not null").groupBy("bag").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")), "bags")
+    keys = found.select("bag", "n", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key")
     buckets = stored(keys.join(shared, "key"), "buckets")
 
@@ -234,9 +234,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int =
         if turn < STAR_ROUNDS:
             hubs = now.groupBy("key").agg(F.min(F.struct(F.xxhash64("bag", F.lit(turn)), F.col("bag").alias("hub"), F.col("n").alias("hub_n"), F.col("label").alias("hub_label"))).alias("h"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key", "h.hub", "h.hub_n", "h.hub_label")
             pairs = now.join(hubs, "key").where("label <> hub_label").where(F.least("n", "hub_n") >= similarity * F.greatest("n", "hub_n")).select(F.least("bag", "hub").alias("a"), F.greatest("bag", "hub").alias("b")).distinct()
+            new = _verify(pairs, items, similarity)
         else:
-            pairs = _rest(now, similarity)
-        new = stored(_verify(pairs, items, similarity), "new-links")
+            new = _rest(now, items, similarity)
+        new = stored(new, "new-links")
         if new.limit(1).count() == 0:
             if turn >= STAR_ROUNDS or now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").limit(1).count() == 0:
                 break
@@ -259,16 +260,65 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int =
     return out.select("doc_id", class_id.alias("class_id"), F.coalesce(F.col("doc_id") == class_id, F.lit(False)).alias("representative"))
 
 
-def _rest(now: DataFrame, similarity: float) -> DataFrame:
-    """now: key, bag, n, across, label. Pairs of bags of a bucket in different components, of like sizes."""
+def _block_links(similarity: float):
+    """Links between bags of two blocks in different components: as many as join components, no more."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        n, bags_, label = len(rows), rows["bag"].to_numpy(), rows["label"].to_numpy()
+        sizes = rows["items"].map(len).to_numpy()
+        owner = np.repeat(np.arange(n), sizes)
+        _, element, often = np.unique(np.concatenate(rows["items"].to_list()), return_inverse=True, return_counts=True)
+        shared = often > 1  # others are in no overlap
+        number = np.cumsum(shared) - 1
+        here = shared[element]
+        owner, element = owner[here], number[element[here]]
+        order = np.argsort(element, kind="stable")
+        owner, element = owner[order], element[order]
+        overlap = np.zeros((n, n), dtype=np.float32)
+        for low in range(0, int(shared.sum()), STRIPE):
+            a, b = np.searchsorted(element, [low, low + STRIPE])
+            some = np.zeros((n, STRIPE), dtype=np.float32)
+            some[owner[a:b], element[a:b] - low] = 1
+            overlap += some @ some.T
+        linked = overlap >= similarity * (sizes[:, None] + sizes[None, :] - overlap) - 1e-3
+        linked &= label[:, None] < label[None, :]
+        i, j = np.nonzero(linked)
+        exact = overlap[i, j].astype(np.int64)
+        sure = exact >= similarity * (sizes[i] + sizes[j] - exact)
+        i, j = i[sure], j[sure]
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = parent[up] if up in parent else up
+                x = up
+            return x
+
+        pairs, at = np.unique(np.stack([label[i], label[j]]), axis=1, return_index=True)
+        out = []
+        for p, q, k in zip(*pairs.tolist(), at.tolist(), strict=True):
+            if (p := root(p)) != (q := root(q)):
+                parent[q] = p
+                out.append((bags_[i[k]], bags_[j[k]]))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return run
+
+
+def _rest(now: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
+    """now: key, bag, n, label. Verified links between bags of a bucket in different components, enough to join them."""
     open_ = now.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key", "members")
-    left = now.join(open_, "key")
-    few = left.where(F.col("members") <= SPLIT_ABOVE).select("key", F.lit(0).cast("long").alias("sub"), "bag", "n", "label")
-    many = left.where(F.col("members") > SPLIT_ABOVE).select("key", F.explode("across").alias("sub"), "bag", "n", "label")
-    sides = few.unionByName(many)
-    other = sides.select("key", "sub", *[F.col(c).alias(f"other_{c}") for c in ("bag", "n", "label")])
-    pairs = sides.join(other, ["key", "sub"]).where("bag < other_bag and label <> other_label")
-    return pairs.where(F.least("n", "other_n") >= similarity * F.greatest("n", "other_n")).select(F.col("bag").alias("a"), F.col("other_bag").alias("b")).distinct()
+    left = now.join(open_, "key").select("key", "members", "bag", "n", "label")
+    few = left.where(F.col("members") <= PAIRED)
+    other = few.select("key", *[F.col(c).alias(f"other_{c}") for c in ("bag", "n", "label")])
+    pairs = few.join(other, "key").where("bag < other_bag and label <> other_label")
+    pairs = pairs.where(F.least("n", "other_n") >= similarity * F.greatest("n", "other_n")).select(F.col("bag").alias("a"), F.col("other_bag").alias("b")).distinct()
+    blocks = F.ceil(F.col("members") / BLOCK)
+    many = left.where(F.col("members") > PAIRED).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("bag"), F.col("blocks")))
+    many = many.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    many = many.select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "bag", "label").join(items, "bag")
+    blocked = many.groupBy("key", "i", "j").applyInPandas(_block_links(similarity), "a long, b long")
+    return _verify(pairs, items, similarity).unionByName(blocked)
 
 
 def keep_one(docs: DataFrame, **settings) -> DataFrame:
