@@ -16,10 +16,20 @@ LEAST_SCORE = 0.5
 SHARDS = 24
 
 
+def _packed(docs: DataFrame, *beside: str) -> DataFrame:
+    """The columns in beside, and all others in one struct `_row`: no name of theirs can clash with an operator's."""
+    rest = [F.col(f"`{c}`").alias(c) for c in docs.columns if c != "text"]
+    return docs.select(*[c for c in beside if c in docs.columns], F.struct(*rest).alias("_row"), "text")
+
+
+def _unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*[F.col("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in columns])
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a main language; those without a letter and those with no language in the majority go."""
-    found = language_id.identify(docs, language_id.fit(docs))
-    return found.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+    found = language_id.identify(_packed(docs), language_id.fit(docs))
+    return _unpacked(found.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)), docs.columns)
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,17 +39,17 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts benchmark passages out of the texts; n_chars follows. Clean documents stay as they are."""
-    found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"), cut=True)
-    n_chars = F.when(F.col("n_hit") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
-    if n_chars is not None:
-        found = found.withColumn("n_chars", n_chars)
-    return found.select(docs.columns)
+    found = decontaminate.find_leaks(_packed(docs), table(spark, sf_dir, "benchmark"), cut=True)
+    if "n_chars" in docs.columns:
+        n_chars = F.when(F.col("n_hit") > 0, F.length("text").cast("long")).otherwise(F.col("_row.n_chars"))
+        found = found.withColumn("_row", F.col("_row").withField("n_chars", n_chars))
+    return _unpacked(found, docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats each document as often as the mix of sources takes it, or leaves it out."""
-    mixed = mixing.mix(docs, keep=docs.columns)
-    return mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(docs.columns)
+    mixed = mixing.mix(_packed(docs, "doc_id", "source"), keep=["_row", "text"])
+    return _unpacked(mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))), docs.columns)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,7 +44,7 @@ def terms(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), _CUT), "")
 
 
-def _weights(files: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _weights(files: DataFrame, known: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
     """idf of each template term over all files, and the unit vectors of the templates: (term, idf), (template, licence, term, weight).
 
     Both tables have as many rows as the templates have terms, whatever the size of the corpus.
@@ -52,8 +52,7 @@ def _weights(files: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     words = known.select("template", "licence", F.explode(terms(F.col("text"))).alias("term")).groupBy("template", "licence", "term").agg(F.count(F.lit(1)).alias("tf"))
     vocabulary = [r["term"] for r in known.select(F.explode(terms(F.col("text"))).alias("term")).distinct().orderBy("term").collect()]
     mine = files.select(F.explode(F.array_intersect(terms(F.col("text")), F.array(*map(F.lit, vocabulary)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    total = files.agg(F.count(F.lit(1)).alias("files"))
-    idf = known.select(F.explode(terms(F.col("text"))).alias("term")).distinct().join(mine, "term", "left").join(F.broadcast(total)).select("term", F.log((F.col("files") + 2.0) / (F.coalesce("df", F.lit(0)) + 1.0)).alias("idf"), F.log(F.col("files") + 2.0).alias("most"))
+    idf = known.select(F.explode(terms(F.col("text"))).alias("term")).distinct().join(mine, "term", "left").select("term", F.log(F.lit(total + 2.0) / (F.coalesce("df", F.lit(0)) + 1.0)).alias("idf"))
     vectors = words.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("template")))
     return idf, vectors.withColumn("weight", F.col("w") / norm).select("template", "licence", "term", "weight")
@@ -81,15 +80,15 @@ def scan_licences(files: DataFrame, known: DataFrame | None = None, cosine: floa
     spark = files.sparkSession
     files = files.select("id", "path", "text")
     known = templates(spark) if known is None else known
-    idf, vectors = _weights(files, known)
+    total = files.count()
+    idf, vectors = _weights(files, known, total)
     anchors = _anchors(vectors, cosine)
     some = "(?i)(?:^|[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F])(?:" + "|".join(anchors or ["(?!)"]) + ")(?:$|[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F])"
     lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(some))
     noted = files.where(F.col("text").rlike(some)).select("id", "path", F.xxhash64("text").alias("x"), F.size(terms(F.col("text"))).alias("words"), F.explode(lines).alias("line"))
 
     seen = noted.select("line").distinct().withColumn("term", F.explode(terms(F.col("line")))).groupBy("line", "term").agg(F.count(F.lit(1)).alias("tf"))
-    most = idf.agg(F.max("most").alias("most"))
-    weighed = seen.join(idf.select("term", "idf"), "term", "left").join(F.broadcast(most)).withColumn("w", F.col("tf") * F.coalesce("idf", "most"))
+    weighed = seen.join(idf, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.log(F.lit(total + 2.0))))
     norms = weighed.groupBy("line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum("tf").alias("line_words"))
     dots = weighed.join(vectors, "term").groupBy("line", "template", "licence").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     scored = dots.join(norms, "line").withColumn("score", F.round(F.col("dot") / F.col("norm"), 9)).where(F.col("score") >= cosine)

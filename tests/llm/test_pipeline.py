@@ -28,11 +28,12 @@ def test_stages_keep_what_is_clean(spark, corpus, odd, empty):
 
 
 def test_odd_rows_and_no_rows(spark, odd, empty):
-    for docs in (odd.select("doc_id", "text", "lang", "source", "n_chars"), empty):
+    clash = odd.withColumn("score", F.lit("clash")).withColumn("copies", F.lit("clash")).withColumn("n_hit", F.lit("clash"))
+    for docs in (clash, empty):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, docs, FOLDER)
             assert out.columns == docs.columns
-            out.count()
+            assert all(r["score"] == r["n_hit"] == r["copies"] == "clash" for r in out.collect() if docs is clash)
         assert corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).count() == docs.count()
 
 
