@@ -12,6 +12,7 @@ are occurrences of one string, and the least document among them is its first.
 from __future__ import annotations
 
 import gc
+import time
 
 import pyspark.sql.types as T
 from pyspark.sql import DataFrame, SparkSession
@@ -27,41 +28,47 @@ WINDOW, GRAM, SORTED_BYTES = 50, 16, 1 << 20
 MOST_CONTEXTS = 10_000
 
 _RANGES = T.ArrayType(T.StructType([T.StructField("id", T.LongType()), T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())]))
-_RUNS = T.ArrayType(T.StructType([T.StructField("h", T.LongType()), T.StructField("c", T.LongType()), T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())]))
+_RUNS = T.ArrayType(T.StructType([T.StructField("h", T.LongType()), T.StructField("c", T.LongType())]))
+_BYTES = T.ArrayType(T.StructType([T.StructField("c", T.LongType()), T.StructField("bytes", T.BinaryType())]))
 _CUT = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(T.IntegerType())), T.StructField("kept_sha256", T.StringType())])
 
 
 def install(spark: SparkSession) -> None:
     """Registers the kernel's functions with this session."""
-    register(spark, SOURCE, PACKAGE, {"marlstone_hashes": ("Hashes", T.ArrayType(T.LongType())), "marlstone_runs": ("Runs", _RUNS), "marlstone_earlier": ("Earlier", _RANGES), "marlstone_cut": ("Cut", _CUT), "marlstone_suffix_order": ("Order", T.ArrayType(T.IntegerType()))})
+    register(spark, SOURCE, PACKAGE, {"marlstone_hashes": ("Hashes", T.ArrayType(T.LongType())), "marlstone_runs": ("Runs", _RUNS), "marlstone_pick": ("Pick", _BYTES), "marlstone_earlier": ("Earlier", _RANGES), "marlstone_cut": ("Cut", _CUT), "marlstone_suffix_order": ("Order", T.ArrayType(T.IntegerType()))})
 
 
 def _settle(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of jobs that are over."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Lets Spark delete the shuffle files of jobs that are over, before the next step writes its own."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def earlier_ranges(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """rows: d (long), x (long), t (binary). d, x, ranges of the starts of windows that a row with a smaller d has."""
+    """rows: d (long), t (binary). d and its ranges: c, and the first and last start inside the run of c that a smaller d has; nulls: all."""
     spark = rows.sparkSession
     install(spark)
     sizes = (F.lit(window), F.lit(gram))
     hashes = rows.select("d", F.explode(F.call_function("marlstone_hashes", "t", *sizes)).alias("h"))
-    shared = stored(hashes.groupBy("h").agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low < high").select("h"), "anchors")
+    shared = stored(hashes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "anchors")
     _settle(spark)
-    runs = rows.select("d", "x", F.explode(F.call_function("marlstone_runs", "t", *sizes)).alias("r")).select("d", "x", "r.*")
-    runs = stored(runs.join(shared, "h"), "runs")
+    wanted = stored(hashes.join(shared, "h").groupBy("d").agg(F.collect_list("h").alias("hs")), "wanted")
     drop_stored(shared)
     _settle(spark)
 
-    # c stands for the bytes of a run, which fix its anchor too
-    firsts = stored(runs.groupBy("h", "c").agg(F.min(F.struct("d", "x", "first", "last")).alias("o")).select("h", "c", "o.*"), "firsts")
-    several = firsts.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    several = firsts.join(several, "h")
-    own = several.groupBy("d", "x").agg(F.collect_list(F.struct("h", "c", "first", "last", "m")).alias("own"))
-    contexts = rows.join(own, ["d", "x"]).select("d", "t", F.explode("own").alias("o")).select("d", "o.*", F.expr(f"substring(t, o.first + 1, o.last - o.first + {window})").alias("bytes"))
-    contexts = stored(contexts.groupBy("c").agg(F.first("h").alias("h"), F.min("d").alias("d"), F.first("m").alias("m"), F.first("bytes").alias("bytes")), "contexts")
+    # c stands for the bytes of a run, which fix its anchor h too
+    runs = rows.join(wanted, "d").select("d", F.explode(F.call_function("marlstone_runs", "t", *sizes, "hs")).alias("r")).select("d", "r.h", "r.c")
+    runs = stored(runs, "runs")
+    drop_stored(wanted)
+    _settle(spark)
+    firsts = stored(runs.groupBy("h", "c").agg(F.min("d").alias("d")), "firsts")
+    several = stored(firsts.join(firsts.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "h"), "several")
+    own = several.groupBy("d").agg(F.collect_list("c").alias("cs"))
+    picked = rows.join(own, "d").select(F.explode(F.call_function("marlstone_pick", "t", *sizes, "cs")).alias("p")).select("p.*")
+    contexts = stored(picked.groupBy("c").agg(F.first("bytes").alias("bytes")).join(several, "c"), "contexts")
+    drop_stored(several)
     _settle(spark)
 
     total = contexts.where(F.col("m") <= MOST_CONTEXTS).agg(F.sum(F.length("bytes") + 1)).first()[0] or 0
@@ -75,10 +82,11 @@ def earlier_ranges(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     parts = few.unionByName(many)
 
     # a later document has the whole run; the first document of a run has what other runs of its anchor show earlier
-    told = runs.join(firsts.select("c", F.col("d").alias("fd")), "c")
-    whole = told.where("d > fd").select("d", "x", F.col("first").alias("a"), F.col("last").alias("b"))
-    inside = told.where("d = fd").join(parts, "c").select("d", "x", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))
-    ranges = stored(whole.unionByName(inside).groupBy("d", "x").agg(F.collect_list(F.struct("a", "b")).alias("ranges")), "ranges")
+    told = runs.join(firsts.select("c", F.col("d").alias("first")), "c")
+    nothing = F.lit(None).cast("int")
+    whole = told.where("d > first").select("d", "c", nothing.alias("a"), nothing.alias("b"))
+    inside = firsts.select("d", "c").join(parts, "c").select("d", "c", "a", "b")
+    ranges = stored(whole.unionByName(inside).groupBy("d").agg(F.collect_list(F.struct("c", "a", "b")).alias("ranges")), "ranges")
     for done in (runs, firsts, contexts):
         drop_stored(done)
     _settle(spark)
@@ -95,7 +103,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     """
     most = (1 << 63) - 1
     t = F.coalesce(F.col("text").cast("binary"), F.lit(bytearray()))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(most)).alias("d"), F.xxhash64(t).alias("x"), t.alias("t"), F.col("doc_id").cast("long").alias("doc_id"))
-    ranges = earlier_ranges(rows.select("d", "x", "t"), window, gram)
-    cut = rows.join(ranges, ["d", "x"], "left").select("doc_id", F.call_function("marlstone_cut", "t", "ranges", F.lit(window)).alias("cut"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(most)).alias("d"), t.alias("t"), F.col("doc_id").cast("long").alias("doc_id"))
+    ranges = earlier_ranges(rows.select("d", "t"), window, gram)
+    cut = rows.join(ranges, "d", "left").select("doc_id", F.call_function("marlstone_cut", "t", "ranges", F.lit(window), F.lit(gram)).alias("cut"))
     return cut.select("doc_id", "cut.n_bytes", "cut.n_removed", (F.size("cut.spans") / 2).cast("long").alias("n_spans"), "cut.kept_sha256", "cut.spans")

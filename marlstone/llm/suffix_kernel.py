@@ -8,11 +8,14 @@ package marlstone_suffix;
 import java.security.MessageDigest;
 import java.util.ArrayList;
 import java.util.Arrays;
+import java.util.HashMap;
+import java.util.HashSet;
 import org.apache.spark.sql.Row;
 import org.apache.spark.sql.RowFactory;
 import org.apache.spark.sql.api.java.UDF1;
 import org.apache.spark.sql.api.java.UDF2;
 import org.apache.spark.sql.api.java.UDF3;
+import org.apache.spark.sql.api.java.UDF4;
 
 /** Runs of windows that share their least k-gram: {hash of the k-gram, hash of the run's bytes, first start, last start}. */
 class Scan {
@@ -165,6 +168,13 @@ class Lyndon {
 
 public class Kernel {
   static byte[] bytes(Object x) { return x == null ? new byte[0] : (byte[]) x; }
+
+  static HashSet set(Object longs) {
+    HashSet out = new HashSet();
+    scala.collection.Iterator it = ((scala.collection.Seq) longs).iterator();
+    while (it.hasNext()) out.add(it.next());
+    return out;
+  }
 }
 
 /** (text, window, k) -> distinct hashes of its anchors. */
@@ -180,12 +190,32 @@ public class Hashes implements UDF3 {
   }
 }
 
-/** (text, window, k) -> its runs: h, c, first, last. */
-public class Runs implements UDF3 {
-  public Object call(Object text, Object window, Object k) {
+/** (text, window, k, hashes) -> the distinct runs of these anchors: h, c. */
+public class Runs implements UDF4 {
+  public Object call(Object text, Object window, Object k, Object hashes) {
+    HashSet wanted = Kernel.set(hashes), seen = new HashSet();
     long[][] runs = Scan.runs(Kernel.bytes(text), ((Integer) window).intValue(), ((Integer) k).intValue());
     ArrayList out = new ArrayList();
-    for (int i = 0; i < runs.length; i++) out.add(RowFactory.create(new Object[] {Long.valueOf(runs[i][0]), Long.valueOf(runs[i][1]), Integer.valueOf((int) runs[i][2]), Integer.valueOf((int) runs[i][3])}));
+    for (int i = 0; i < runs.length; i++) {
+      Long h = Long.valueOf(runs[i][0]), c = Long.valueOf(runs[i][1]);
+      if (wanted.contains(h) && seen.add(c)) out.add(RowFactory.create(new Object[] {h, c}));
+    }
+    return out;
+  }
+}
+
+/** (text, window, k, contents) -> c and the bytes of these runs. */
+public class Pick implements UDF4 {
+  public Object call(Object text, Object windowValue, Object k, Object contents) {
+    byte[] t = Kernel.bytes(text);
+    int window = ((Integer) windowValue).intValue();
+    HashSet wanted = Kernel.set(contents);
+    long[][] runs = Scan.runs(t, window, ((Integer) k).intValue());
+    ArrayList out = new ArrayList();
+    for (int i = 0; i < runs.length; i++) {
+      Long c = Long.valueOf(runs[i][1]);
+      if (wanted.remove(c)) out.add(RowFactory.create(new Object[] {c, Arrays.copyOfRange(t, (int) runs[i][2], (int) runs[i][3] + window)}));
+    }
     return out;
   }
 }
@@ -251,19 +281,31 @@ public class Earlier implements UDF2 {
   }
 }
 
-/** (text, ranges of window starts, window) -> bytes, removed bytes, spans as start, end, ..., SHA-256 of the rest. */
-public class Cut implements UDF3 {
-  public Object call(Object text, Object ranges, Object windowValue) throws Exception {
+/** (text, c with first and last start inside its run or nulls for all of it, window, k) -> bytes, removed bytes, spans as start, end, ..., SHA-256 of the rest. */
+public class Cut implements UDF4 {
+  public Object call(Object text, Object ranges, Object windowValue, Object k) throws Exception {
     byte[] t = Kernel.bytes(text);
     int window = ((Integer) windowValue).intValue(), n = t.length;
     int[] edge = new int[n + 1];
     if (ranges != null) {
-      scala.collection.Seq all = (scala.collection.Seq) ranges;
-      scala.collection.Iterator it = all.iterator();
+      HashMap told = new HashMap();
+      scala.collection.Iterator it = ((scala.collection.Seq) ranges).iterator();
       while (it.hasNext()) {
         Row r = (Row) it.next();
-        edge[r.getInt(0)]++;
-        edge[r.getInt(1) + window]--;
+        ArrayList own = (ArrayList) told.get(r.get(0));
+        if (own == null) { own = new ArrayList(); told.put(r.get(0), own); }
+        own.add(r);
+      }
+      long[][] runs = Scan.runs(t, window, ((Integer) k).intValue());
+      for (int i = 0; i < runs.length; i++) {
+        ArrayList own = (ArrayList) told.get(Long.valueOf(runs[i][1]));
+        if (own == null) continue;
+        int first = (int) runs[i][2], last = (int) runs[i][3];
+        for (int j = 0; j < own.size(); j++) {
+          Row r = (Row) own.get(j);
+          edge[r.isNullAt(1) ? first : first + r.getInt(1)]++;
+          edge[(r.isNullAt(2) ? last : first + r.getInt(2)) + window]--;
+        }
       }
     }
     MessageDigest digest = MessageDigest.getInstance("SHA-256");
