@@ -62,5 +62,17 @@ def ship(spark: SparkSession) -> None:
     context._marlstone_shipped = True
 
 
+def trim() -> None:
+    """Gives a worker's freed memory back to the system, so that idle workers don't crowd an executor."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+    if release:
+        release(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

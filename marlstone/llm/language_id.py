@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, trim
 
 #: Buckets of hashed pairs and of hashed triples, the penalty of a switch (natural log), the smoothing count.
 BUCKETS, SWITCH, SMOOTH = 1 << 15, 6.0, 0.5
@@ -23,6 +23,8 @@ BUCKETS, SWITCH, SMOOTH = 1 << 15, 6.0, 0.5
 SAMPLE_PER_LANGUAGE, MOST_LANGUAGES = 2000, 256
 #: A script must have this share of a language's training words to be one of its scripts.
 SCRIPT_SHARE = 0.001
+#: Characters of texts whose words are scored at a time.
+CHUNK = 1 << 20
 #: First and last code points of letters of the commoner scripts (Unicode block ranges).
 SCRIPTS = {
     "latin": [(0x41, 0x24F), (0x1E00, 0x1EFF)],
@@ -70,12 +72,12 @@ class Words:
         self.first, self.last = edges[::2], edges[1::2]
         self.document = np.searchsorted(self.starts, self.first, side="right") - 1
         self.script = script[codes[self.first]] if len(self.first) else np.zeros(0, dtype=np.int8)
-        c = np.where(letter, codes, 32).astype(np.uint64)
+        c = np.where(letter, codes, np.uint32(32)).astype(np.uint64)
         two = np.concatenate(([np.uint64(32)], c[:-1])) * np.uint64(0x9E3779B1) + c
-        three = (np.concatenate(([np.uint64(32)] * 2, c[:-2]))[: len(c)] * np.uint64(0x85EBCA6B) + two) * np.uint64(0x9E3779B97F4A7C15)
         shift = np.uint64(64 - int(BUCKETS).bit_length() + 1)
-        self.pairs = ((two * np.uint64(0x9E3779B97F4A7C15)) >> shift).astype(np.int64)
-        self.triples = (three >> shift).astype(np.int64) + BUCKETS
+        self.pairs = ((two * np.uint64(0x9E3779B97F4A7C15)) >> shift).astype(np.int32)
+        two += np.concatenate(([np.uint64(32)] * 2, c[:-2]))[: len(c)] * np.uint64(0x85EBCA6B)
+        self.triples = ((two * np.uint64(0x9E3779B97F4A7C15)) >> shift).astype(np.int32) + np.int32(BUCKETS)
 
     def sums(self, table: np.ndarray) -> np.ndarray:
         """For each word and language: the sum of table over its pairs and triples, the one after its end included."""
@@ -92,16 +94,28 @@ class Model:
     def __init__(self, languages: list[str], log_p: np.ndarray, scripts: np.ndarray):
         self.languages, self.log_p, self.scripts = languages, log_p, scripts
 
-    def label(self, texts: list[str | None], switch: float = SWITCH) -> tuple[Words, np.ndarray]:
-        """The words of the texts and the number of the language of each, by the best path."""
-        words = Words(texts)
-        if not len(words.first) or not self.languages:
-            return words, np.zeros(len(words.first), dtype=np.int64)
-        scores = words.sums(self.log_p)
-        allowed = self.scripts[words.script]
-        allowed |= ~allowed.any(axis=1, keepdims=True)
-        scores[~allowed] = -1e6
-        return words, viterbi(scores, words.document, switch)
+    def paths(self, texts: pa.Array, switch: float = SWITCH) -> Iterator[tuple[int, int, Words, np.ndarray]]:
+        """Parts of the texts (first, end), their words, and the number of the language of each word by the best path.
+
+        A part has CHUNK characters and what its last text is longer, which bounds what is in memory.
+        """
+        start = 0
+        while start < len(texts):
+            end, part, size = start, [], 0
+            while end < len(texts) and (end == start or size < CHUNK):
+                part.append(texts[end].as_py())
+                size += len(part[-1] or "")
+                end += 1
+            words = Words(part)
+            state = np.zeros(len(words.first), dtype=np.int64)
+            if len(words.first) and self.languages:
+                scores = words.sums(self.log_p)
+                allowed = self.scripts[words.script]
+                allowed |= ~allowed.any(axis=1, keepdims=True)
+                scores[~allowed] = -1e6
+                state = viterbi(scores, words.document, switch)
+            yield start, end, words, state
+            start = end
 
 
 def viterbi(scores: np.ndarray, document: np.ndarray, switch: float) -> np.ndarray:
@@ -139,8 +153,8 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     seen: dict[str, np.ndarray] = {}
     scripts: dict[str, np.ndarray] = {}
     for batch in batches:
-        for language, own in batch.groupby("lang"):
-            words = Words(list(own["text"]))
+        for language, own in ((k, [t]) for k, t in zip(batch["lang"], batch["text"], strict=True)):
+            words = Words(own)
             total = seen.setdefault(language, np.zeros(2 * BUCKETS, dtype=np.int64))
             inside = np.zeros(len(words.pairs) + 1, dtype=np.int64)
             np.add.at(inside, words.first, 1)
@@ -206,22 +220,24 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH, spans: bool
         m: Model = known.value
         names = np.array([*m.languages, UNDETERMINED], dtype=object)
         for batch in batches:
-            words, state = m.label(batch.column(at).to_pylist(), switch)
-            letters = np.zeros((batch.num_rows, len(names)), dtype=np.int64)
-            if m.languages:
-                np.add.at(letters, (words.document, state), words.last - words.first)
-            total = letters.sum(axis=1)
-            best = np.where(total > 0, letters.argmax(axis=1), len(names) - 1)
-            columns = [*batch.columns, pa.array(names[best].tolist(), pa.string()), pa.array(letters[np.arange(len(best)), best] / np.maximum(total, 1), pa.float64())]
-            if spans:
-                out: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-                if len(state) and m.languages:
-                    cut = np.flatnonzero(np.concatenate(([True], (state[1:] != state[:-1]) | (words.document[1:] != words.document[:-1]))))
-                    for a, b in zip(cut, [*(cut[1:] - 1), len(state) - 1], strict=True):
-                        d = int(words.document[a])
-                        out[d].append({"start": int(words.first[a] - words.starts[d]), "end": int(words.last[b] - words.starts[d]), "lang": names[state[a]]})
-                columns.append(pa.array(out, pa.list_(span)))
-            yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(others))] + new)
+            for start, end, words, state in m.paths(batch.column(at), switch):
+                part, n = batch.slice(start, end - start), end - start
+                letters = np.zeros((n, len(names)), dtype=np.int64)
+                if m.languages:
+                    np.add.at(letters, (words.document, state), words.last - words.first)
+                total = letters.sum(axis=1)
+                best = np.where(total > 0, letters.argmax(axis=1), len(names) - 1)
+                columns = [*part.columns, pa.array(names[best].tolist(), pa.string()), pa.array(letters[np.arange(n), best] / np.maximum(total, 1), pa.float64())]
+                if spans:
+                    out: list[list[dict]] = [[] for _ in range(n)]
+                    if len(state) and m.languages:
+                        cut = np.flatnonzero(np.concatenate(([True], (state[1:] != state[:-1]) | (words.document[1:] != words.document[:-1]))))
+                        for a, b in zip(cut, [*(cut[1:] - 1), len(state) - 1], strict=True):
+                            d = int(words.document[a])
+                            out[d].append({"start": int(words.first[a] - words.starts[d]), "end": int(words.last[b] - words.starts[d]), "lang": names[state[a]]})
+                    columns.append(pa.array(out, pa.list_(span)))
+                yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(others))] + new)
+            trim()
 
     fields = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(others)]
     tail = "lang_pred string, score double" + ", lang_spans array<struct<start:int,end:int,lang:string>>" * spans
