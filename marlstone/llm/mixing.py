@@ -11,12 +11,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, stored
 
 #: Parts that a source's keys are dealt into for the prefix sums.
 PARTS = 4096
 #: Least and greatest quality weight; a part holds at most their quotient times its share of a source.
 LEAST_WEIGHT, MOST_WEIGHT = 0.25, 1.0
+#: A table with one short row per source is broadcast up to so many sources; beyond, it is joined through a shuffle.
+BROADCAST_SOURCES = 50_000
 
 
 def word_count(text: Column) -> Column:
@@ -75,7 +77,9 @@ def mix(docs: DataFrame, pattern: Sequence[float] = (5, 2, 1), share: float = 1.
     rows = rows.withColumn("_key", key).withColumn("_part", F.least(F.floor((1 - F.exp(-F.col("_key") * LEAST_WEIGHT)) * PARTS), F.lit(PARTS - 1)).cast("int"))
     units = rows.select(F.col("_source").alias("source"), F.col("_part").alias("part"), F.col("_key").alias("key"), F.col("_id").alias("id"), F.col("_size").alias("size"))
 
-    parts = units.groupBy("source", "part").agg(F.sum("size").alias("size"))
+    parts = stored(units.groupBy("source", "part").agg(F.sum("size").alias("size")), "parts")
+    few = parts.agg(F.count_distinct(F.struct("source"))).first()[0] <= BROADCAST_SOURCES
+    small = F.broadcast if few else (lambda df: df)
     sources = targets(parts.groupBy("source").agg(F.sum("size").alias("source_size")), pattern, share, cap)
     after = F.sum("size").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
     parts = parts.select("source", "part", (after - F.col("size")).alias("before"), after.alias("after"))
@@ -83,15 +87,15 @@ def mix(docs: DataFrame, pattern: Sequence[float] = (5, 2, 1), share: float = 1.
     named = sources.select(F.col("source").alias("of"), "source_size", "target", "epochs", rest)
     last = parts.join(named, F.col("source").eqNullSafe(F.col("of"))).where((F.col("before") < F.col("rest")) & (F.col("after") >= F.col("rest"))).select("of", F.col("part").alias("last_part"), "before", "rest")
 
-    inside = units.join(last, F.col("source").eqNullSafe(F.col("of")) & (F.col("part") == F.col("last_part")))
+    inside = units.join(small(last), F.col("source").eqNullSafe(F.col("of")) & (F.col("part") == F.col("last_part")))
     inside = inside.groupBy("of", "last_part", "rest", "before", "key", "id").agg(F.sum("size").alias("size"))
     order = Window.partitionBy("of").orderBy("key", "id").rowsBetween(Window.unboundedPreceding, 0)
     middle = F.col("before") + F.sum("size").over(order) - F.col("size") / 2
     ends = inside.withColumn("middle", middle).groupBy("of", "last_part").agg(F.max(F.when(F.col("middle") < F.col("rest"), F.struct("key", F.coalesce("id", F.lit(-(1 << 63))).alias("id")))).alias("end"))
 
-    # one row per source from here on: Spark broadcasts it where its measured size is below the session's threshold
+    # one row per source from here on
     told = named.join(ends.withColumnRenamed("of", "of2"), F.col("of").eqNullSafe(F.col("of2")), "left").select("of", "source_size", "target", "epochs", "last_part", "end")
-    out = rows.join(told, F.col("_source").eqNullSafe(F.col("of")), "left")
+    out = rows.join(small(told), F.col("_source").eqNullSafe(F.col("of")), "left")
     mine = F.struct(F.col("_key").alias("key"), F.coalesce("_id", F.lit(-(1 << 63))).alias("id"))
     picked = (F.col("_part") < F.col("last_part")) | ((F.col("_part") == F.col("last_part")) & F.col("end").isNotNull() & (mine <= F.col("end")))
     copies = (F.col("epochs") + F.when(picked, 1).otherwise(0)).cast("long")
