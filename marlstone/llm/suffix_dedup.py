@@ -64,7 +64,9 @@ def earlier_ranges(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     drop_stored(wanted)
     _settle(spark)
     firsts = stored(runs.groupBy("h", "c").agg(F.min("d").alias("d")), "firsts")
+    _settle(spark)
     several = stored(firsts.join(firsts.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "h"), "several")
+    _settle(spark)
     own = several.groupBy("d").agg(F.collect_list("c").alias("cs"))
     picked = rows.join(own, "d").select(F.explode(F.call_function("marlstone_pick", "t", *sizes, "cs")).alias("p")).select("p.*")
     contexts = stored(picked.groupBy("c").agg(F.first("bytes").alias("bytes")).join(several, "c"), "contexts")
