@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, trim
 
 #: Words of a window; an item of fewer words is one window.
 WINDOW = 10
 #: Words of documents in one index, positions between sampled suffixes, bytes of benchmark text searched in one pass.
-SHARD_WORDS, SAMPLE, BLOCK_BYTES = 2_000_000, 8, 16 << 20
+SHARD_WORDS, SAMPLE, BLOCK_BYTES = 400_000, 8, 16 << 20
 END, GAP, FIRST = 0, 1, 2
 _WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 _SPACED = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -312,5 +312,6 @@ def _search(phrases, window: int, chained: bool, last: bool, cut: bool, others:
                     columns["spans"] = pa.array(ranges, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
                 yield pa.RecordBatch.from_pydict(columns)
                 start = end
+            trim()
 
     return run

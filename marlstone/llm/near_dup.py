@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, ship, stored
+from .common import drop_stored, ship, stored, trim
 from .decontaminate import words_of
 
 #: Words of a shingle; the least similarity of a link.
@@ -32,7 +32,7 @@ PAIRED, BLOCK = 12, 1024
 #: Distinct shingles that a block's product takes at a time.
 STRIPE = 2048
 #: Bytes of text hashed at a time.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 _GOLDEN, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _POWERS: list[np.ndarray] = []
 
@@ -121,13 +121,16 @@ def _keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    start, size = 0, 0
+def _chunks(texts: pa.Array) -> Iterator[tuple[int, int, list[str | None]]]:
+    """Parts of a column (first, end, texts) of CHUNK characters and what the last text is longer."""
+    start, part, size = 0, [], 0
     for i, t in enumerate(texts):
-        size += len(t or "")
+        part.append(t.as_py())
+        size += len(part[-1] or "")
         if size >= CHUNK or i == len(texts) - 1:
-            yield start, i + 1
-            start, size = i + 1, 0
+            yield start, i + 1, part
+            start, part, size = i + 1, [], 0
+    trim()
 
 
 def _bag_hash(document: np.ndarray, shingle: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
@@ -140,9 +143,9 @@ def _bag_hash(document: np.ndarray, shingle: np.ndarray, count: np.ndarray, n: i
 def _sketch(bands: int, rows: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, all_texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in _chunks(all_texts):
-                texts, n = all_texts[a:b], b - a
+            ids = batch.column(0)
+            for a, b, texts in _chunks(batch.column(1)):
+                n = b - a
                 own = bags(*shingles(texts, size))
                 keys = _keys(bag_minhash(*own, n, bands * rows), bands, rows)
                 sizes = np.bincount(own[0], weights=own[2], minlength=n).astype(np.int64)
@@ -158,10 +161,9 @@ def _items(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            all_texts = batch.column(0).to_pylist()
-            for a, b in _chunks(all_texts):
+            for a, b, texts in _chunks(batch.column(0)):
                 n = b - a
-                document, shingle, count = bags(*shingles(all_texts[a:b], size))
+                document, shingle, count = bags(*shingles(texts, size))
                 which = np.repeat(np.arange(len(count)), count)
                 number = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
                 items = np.where(number == 0, shingle[which], mix(shingle[which] + number.astype(np.uint64) * _M1)).view(np.int64)
