@@ -11,8 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
-
 #: Least cosine of a notice; least share of a file's words in notices that makes it a licence file.
 COSINE, FILE_SHARE = 0.6, 0.5
 _CUT = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -40,8 +38,8 @@ def templates(spark: SparkSession) -> DataFrame:
 
 
 def terms(text: Column) -> Column:
-    """Runs of letters and digits, A-Z lower-cased; none of a null."""
-    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), _CUT), "")
+    """Runs of letters and digits, lower-cased; none of a null."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), _CUT), "")
 
 
 def _weights(files: DataFrame, known: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
@@ -83,9 +81,8 @@ def scan_licences(files: DataFrame, known: DataFrame | None = None, cosine: floa
     total = files.count()
     idf, vectors = _weights(files, known, total)
     anchors = _anchors(vectors, cosine)
-    some = "(?i)(?:^|[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F])(?:" + "|".join(anchors or ["(?!)"]) + ")(?:$|[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F])"
-    lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(some))
-    noted = files.where(F.col("text").rlike(some)).select("id", "path", F.xxhash64("text").alias("x"), F.size(terms(F.col("text"))).alias("words"), F.explode(lines).alias("line"))
+    lines = F.filter(F.split("text", "\n"), lambda line: F.arrays_overlap(terms(line), F.array(*map(F.lit, anchors)).cast("array<string>")))
+    noted = files.select("id", "path", "text", F.explode(lines).alias("line")).select("id", "path", F.xxhash64("text").alias("x"), F.size(terms(F.col("text"))).alias("words"), "line")
 
     seen = noted.select("line").distinct().withColumn("term", F.explode(terms(F.col("line")))).groupBy("line", "term").agg(F.count(F.lit(1)).alias("tf"))
     weighed = seen.join(idf, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.log(F.lit(total + 2.0))))
