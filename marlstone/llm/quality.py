@@ -17,18 +17,33 @@ from pyspark.sql import functions as F
 
 from .common import ship
 
-#: (bytes from, least ratio, greatest ratio) of whole texts; a text below the first length isn't judged.
-WHOLE = ((64, 0.72, 3.5), (256, 1.0, 4.0), (1024, 1.15, 5.0), (4096, 1.25, 6.0), (16384, 1.3, 8.0), (65536, 1.3, 12.0))
-#: The same of chunks of CHUNK bytes, the last one shorter; the share of bytes in chunks outside that a text may have.
-CHUNK, CHUNKS, OUTSIDE = 4096, ((256, 0.9, 4.5), (1024, 1.1, 5.0), (4096, 1.2, 6.0)), 0.5
+#: (bytes from, least ratio, least ratio of a wide text, greatest ratio) of whole texts; one below the first length isn't judged.
+#: Least: under ordinary prose of that length and, but for wide texts, over base64 from 128 bytes, random letters and
+#: digits from 768 and random letters from 1,024; shorter ones have the ratios of prose. Greatest: about the 99th
+#: percentile of formulaic prose (docstrings).
+WHOLE = (
+    (64, 0.72, 0.72, 2.5), (128, 0.95, 0.72, 2.5), (192, 1.05, 0.8, 2.5), (256, 1.2, 1.0, 2.5), (384, 1.28, 1.05, 2.6),
+    (512, 1.43, 1.1, 2.9), (640, 1.46, 1.1, 3.0), (768, 1.5, 1.15, 3.2), (896, 1.54, 1.15, 3.3), (1024, 1.645, 1.2, 3.4), (1152, 1.655, 1.2, 3.4),
+    (1280, 1.67, 1.25, 3.6), (1536, 1.685, 1.3, 3.7), (2048, 1.75, 1.4, 4.0), (4096, 1.85, 1.7, 4.6), (8192, 2.0, 1.75, 4.8),
+    (16384, 2.05, 1.8, 5.0), (65536, 2.1, 1.8, 5.4),
+)
+#: Chunks of CHUNK bytes, the last one shorter, are judged as texts of their length, from 256 bytes on; the share of bytes in chunks outside that a text may have.
+CHUNK, CHUNKS, OUTSIDE = 4096, tuple(x for x in WHOLE if 256 <= x[0] <= 4096), 0.5
+#: A text is wide if more than this share of its bytes is beyond ASCII: few characters in many bytes, so short prose compresses less.
+WIDE = 1 / 3
 LEVEL = 3
 _SYMBOLS = re.compile(rb"[#*$%&|<>]")
 _SKIPPED = bytes([0x20, *range(9, 14)])
+_ASCII = bytes(range(128))
 FIELDS = {"doc_id": pa.int64(), "n_words": pa.int64(), "word_chars": pa.int64(), "n_symbols": pa.int64(), "n_dup_lines": pa.int64(), "n_repeat_words": pa.int64(), "base_failed": pa.bool_(), "kept": pa.bool_(), "ratio": pa.float64(), "outside": pa.float64()}
 
 
-def limits(bands: tuple, n: int) -> tuple[float, float] | None:
-    return next(((low, high) for start, low, high in reversed(bands) if n >= start), None)
+def limits(bands: tuple, raw: bytes) -> tuple[float, float] | None:
+    found = next((x for x in reversed(bands) if len(raw) >= x[0]), None)
+    if found is None:
+        return None
+    wide = not raw.isascii() and len(raw.translate(None, _ASCII)) > WIDE * len(raw)
+    return found[2 if wide else 1], found[3]
 
 
 def repeat_words(words: list[bytes]) -> int:
@@ -77,12 +92,12 @@ class Bands:
     def judge(self, raw: bytes) -> tuple[bool, float, float]:
         """Kept, the whole text's ratio, and the share of its bytes in chunks outside their band."""
         whole, n = self.ratio(raw), len(raw)
-        band = limits(WHOLE, n)
+        band = limits(WHOLE, raw)
         kept = band is None or band[0] <= whole <= band[1]
         outside = 0
         for at in range(0, n, CHUNK):
             chunk = raw[at : at + CHUNK]
-            if (own := limits(CHUNKS, len(chunk))) and not own[0] <= self.ratio(chunk) <= own[1]:
+            if (own := limits(CHUNKS, chunk)) and not own[0] <= self.ratio(chunk) <= own[1]:
                 outside += len(chunk)
         share = outside / n if n else 0.0
         return kept and share <= OUTSIDE, whole, share

@@ -1,8 +1,10 @@
 """Decontamination, suffix sorting, language, quality, near duplicates and token counts against plain Python."""
 
+import base64
 import hashlib
 import random
 import re
+import string
 import zlib
 from collections import Counter
 
@@ -167,6 +169,32 @@ def test_quality(spark, odd, empty, corpus):
     assert quality.judge_quality(empty).count() == 0
 
 
+SIZES = (512, 768, 1024, 1279, 1536, 2048, 3000, 4096, 6800, 8192, 16384, 22000, 40000, 65536, 200000)
+
+
+@pytest.mark.parametrize("size", SIZES)
+def test_bands_reject_noise_and_repetition(size):
+    bands, rng = quality.Bands(), random.Random(size)
+    noise = {"base64": base64.encodebytes(rng.randbytes(size))}
+    for name, alphabet, least in (("mixed", string.ascii_letters + string.digits, 512), ("digits", string.ascii_lowercase + string.digits, 768), ("letters", string.ascii_lowercase, 1024)):
+        if size >= least:
+            noise[name] = " ".join("".join(rng.choices(alphabet, k=rng.randint(2, 9))) for _ in range(size // 3)).encode()
+    three = [" ".join(f"w{rng.randint(0, 400)}" for _ in range(9)) for _ in range(3)]
+    noise["repeats"] = " ".join(rng.choice(three) for _ in range(size // 20)).encode()
+    for name, raw in noise.items():
+        assert len(raw) >= size and not bands.judge(raw[:size])[0], name
+    if size > quality.CHUNK:  # chunk by chunk too
+        assert all(bands.judge(raw[:size])[2] > quality.OUTSIDE for name, raw in noise.items())
+
+
+def test_bands_keep_prose(corpus):
+    bands = quality.Bands()
+    texts = [r.text for r in corpus.collect() if r.text and not quality.base(r.text.encode())[-1]]
+    assert all(bands.judge(t.encode())[0] for t in texts)
+    real = re.sub(r"\s+", " ", " ".join(filter(None, (x.__doc__ for m in (random, re, hashlib, string, base64, zlib) for x in (m, *vars(m).values()) if getattr(x, "__module__", m.__name__) == m.__name__)))).encode()
+    assert all(bands.judge(real[:n])[0] for n in (1024, 2048, 4096))
+
+
 # near duplicates
 def test_bag_minhash_is_unbiased():
     rng = random.Random(3)
