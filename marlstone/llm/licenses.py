@@ -1,18 +1,29 @@
 """Licence scan: sparse TF-IDF cosine of notices to licence templates, then inheritance from the nearest directory.
 
-Native expressions only. A notice is a line of a text. Its vector has its terms' counts times their inverse document
-frequencies over the whole corpus; a term that no template has counts with the greatest frequency value, so a line
-of other words is far from every template. A file that is mostly notices is a licence file and governs its
-directory; a file without a notice of its own takes the licence of the nearest directory above it that has one.
+Native expressions only. A notice is a line of a text, a short text as a whole, or a run of words as long as a
+template and aligned with it, wherever lines and sentences break. Its vector has its terms' counts times their inverse
+document frequencies over the whole corpus; a term that no template has counts with the greatest frequency value, so
+other words are far from every template. SPDX identifiers are read as such. A file that is mostly notices, or near
+enough to the body of a licence as a whole, is a licence file and governs its directory; a file without a notice of
+its own takes the licence of the nearest directory above it that has one.
 """
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Least cosine of a notice; least share of a file's words in notices that makes it a licence file.
 COSINE, FILE_SHARE = 0.6, 0.5
+#: Least cosine of a run of words, which has a template's length and so no words beside it; least cosine of a whole file to a licence's body.
+WINDOW, BODY = 0.8, 0.8
+#: Bodies of licences, one file each.
+TEXTS = Path(__file__).parent / "licence_texts"
 _CUT = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 #: Licences and the wording of their usual notices.
 TEMPLATES = [
@@ -42,15 +53,30 @@ def terms(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), _CUT), "")
 
 
-def _weights(files: DataFrame, known: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
-    """idf of each template term over all files, and the unit vectors of the templates: (term, idf), (template, licence, term, weight).
+def _frequencies(files: DataFrame, vocabulary: list[str]) -> dict[str, int]:
+    """Files that have each term of the vocabulary; as many rows as that has, whatever the size of the corpus."""
+    mine = F.array_intersect(terms(F.col("text")), _literal(vocabulary))
+    return {r["term"]: r["df"] for r in files.select(F.explode(mine).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()}
 
-    Both tables have as many rows as the templates have terms, whatever the size of the corpus.
-    """
+
+def _literal(words: list[str]) -> Column:
+    return F.split(F.lit(" ".join(words)), " ") if words else F.array().cast("array<string>")
+
+
+def _table(spark: SparkSession, rows: list[tuple], columns: str, empty: str) -> DataFrame:
+    """A small table of literals."""
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, rows or [empty]))} AS t({columns})" + ("" if rows else " LIMIT 0"))
+
+
+def _bodies() -> dict[str, Counter]:
+    return {p.stem: Counter(re.sub(_CUT, " ", p.read_text().lower()).split()) for p in sorted(TEXTS.glob("*.txt"))}
+
+
+def _weights(known: DataFrame, df: dict[str, int], vocabulary: list[str], total: int) -> tuple[DataFrame, DataFrame]:
+    """idf of each template term over all files, and the unit vectors of the templates: (term, idf), (template, licence, term, weight)."""
     words = known.select("template", "licence", F.explode(terms(F.col("text"))).alias("term")).groupBy("template", "licence", "term").agg(F.count(F.lit(1)).alias("tf"))
-    vocabulary = [r["term"] for r in known.select(F.explode(terms(F.col("text"))).alias("term")).distinct().orderBy("term").collect()]
-    mine = files.select(F.explode(F.array_intersect(terms(F.col("text")), F.array(*map(F.lit, vocabulary)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = known.select(F.explode(terms(F.col("text"))).alias("term")).distinct().join(mine, "term", "left").select("term", F.log(F.lit(total + 2.0) / (F.coalesce("df", F.lit(0)) + 1.0)).alias("idf"))
+    found = _table(known.sparkSession, [(t, df.get(t, 0)) for t in vocabulary], "term, df", "('', 0)")
+    idf = found.select("term", F.log(F.lit(total + 2.0) / (F.col("df") + 1.0)).alias("idf"))
     vectors = words.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("template")))
     return idf, vectors.withColumn("weight", F.col("w") / norm).select("template", "licence", "term", "weight")
@@ -63,26 +89,87 @@ def _anchors(vectors: DataFrame, cosine: float) -> list[str]:
     return [r["term"] for r in rows.select("term").distinct().orderBy("term").collect()]
 
 
+def _windows(files: DataFrame, known: DataFrame, anchors: list[str]) -> DataFrame:
+    """id, path, x, words, line: around each anchor term of a file, the words that a template aligned there would cover."""
+    aligned = sorted({(t, at, len(r["terms"])) for r in known.select(terms(F.col("text")).alias("terms")).collect() for at, t in enumerate(r["terms"]) if t in set(anchors)})
+    most = max((n for _, _, n in aligned), default=1)
+    at = F.transform("w", lambda t, i: F.struct(t.alias("term"), i.alias("i")))
+    hits = files.where(F.arrays_overlap("w", _literal(anchors))).select("id", "path", "x", "words", "w", F.filter(at, lambda h: h["term"].isin(anchors)).alias("hits"))
+    low = lambda h: F.greatest(h["i"] - most, F.lit(0))
+    near = F.transform("hits", lambda h: F.struct(h["term"].alias("term"), (h["i"] - low(h)).alias("i"), F.slice("w", low(h) + 1, F.lit(2 * most)).alias("w")))
+    start = F.col("hit.i") - F.col("at")
+    window = F.slice("hit.w", F.greatest(start, F.lit(0)) + 1, F.col("n") + F.least(start, F.lit(0)))
+    table = _table(files.sparkSession, aligned, "anchor, at, n", "('', 0, 1)")
+    return hits.select("id", "path", "x", "words", F.explode(near).alias("hit")).join(F.broadcast(table), F.col("hit.term") == F.col("anchor")).select("id", "path", "x", "words", F.array_join(window, " ").alias("line")).distinct()
+
+
+def _whole(files: DataFrame, bodies: dict[str, Counter], df: dict[str, int], total: int) -> DataFrame:
+    """id, path, x, words, best: files whose cosine to a body is BODY or more."""
+    idf = lambda t: math.log((total + 2.0) / (df.get(t, 0) + 1.0))
+    rows, fits, fewest = [], F.lit(False), math.inf
+    for name, counts in bodies.items():
+        weights = {t: n * idf(t) for t, n in counts.items()}
+        norm = math.sqrt(sum(w * w for w in weights.values()))
+        rows += [(name, t, w / norm) for t, w in weights.items()]
+        # a file of that cosine has so many of the body's terms that their weights make up the cosine
+        reach, least = 0.0, 0
+        for w in sorted(weights.values(), reverse=True):
+            if reach >= (BODY * norm) ** 2 * (1 - 1e-9):
+                break
+            reach, least = reach + w * w, least + 1
+        fits, fewest = fits | (F.size(F.array_intersect("w", _literal(sorted(counts)))) >= least), min(fewest, least)
+    every = sorted({t for c in bodies.values() for t in c})
+    spark = files.sparkSession
+    vectors = _table(spark, rows, "licence, term, weight", "('', '', 0.0D)").withColumn("weight", F.col("weight").cast("double"))
+    values = _table(spark, [(t, idf(t)) for t in every], "term, idf", "('', 0.0D)").withColumn("idf", F.col("idf").cast("double"))
+    near = files.where((F.size(F.array_intersect("w", _literal(every))) >= (fewest if bodies else 1 << 30)) & fits)
+    seen = near.select("x", "w").dropDuplicates(["x"]).select("x", F.explode("w").alias("term")).groupBy("x", "term").agg(F.count(F.lit(1)).alias("tf"))
+    weighed = seen.join(F.broadcast(values), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.log(F.lit(total + 2.0))))
+    norms = weighed.groupBy("x").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = weighed.join(F.broadcast(vectors), "term").groupBy("x", "licence").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    score = F.round(F.col("dot") / F.col("norm"), 9)
+    best = dots.join(norms, "x").withColumn("score", score).where(F.col("score") >= BODY).groupBy("x").agg(F.min(F.struct((-F.col("score")).alias("order"), F.col("licence"))).alias("best"))
+    return near.select("id", "path", "x", "words").join(best, "x").select("id", "path", "x", "words", "best")
+
+
+def _identifiers(files: DataFrame, names: list[str]) -> DataFrame:
+    """id, path, x, words, best: SPDX identifiers of the licences in names, later versions allowed or not."""
+    told = F.regexp_extract_all("text", F.lit(r"SPDX-License-Identifier:[ \t]*([^\r\n]*)"), F.lit(1))
+    ids = F.transform(F.flatten(F.transform(told, lambda t: F.split(t, "[^A-Za-z0-9.+-]+"))), lambda t: F.regexp_replace(t, r"(-only|-or-later|\+)$", ""))
+    rows = files.where(F.col("text").contains("SPDX-License-Identifier:")).select("id", "path", "x", "words", F.explode(F.array_distinct(ids)).alias("licence"))
+    return rows.where(F.col("licence").isin(names)).select("id", "path", "x", "words", F.struct(F.lit(-1.0).alias("order"), F.col("licence")).alias("best"))
+
+
 def scan_licences(files: DataFrame, known: DataFrame | None = None, cosine: float = COSINE, file_share: float = FILE_SHARE) -> DataFrame:
     """files: id, path, text. One row per row of files: id, path, licence, score, origin, licence_path.
 
-    origin: `own` (a notice in the text: the one with the greatest cosine, then the first licence by name),
+    origin: `own` (a notice or an SPDX identifier in the text, or the whole text near a body: the greatest cosine, then
+    the first licence by name; an identifier counts as 1),
     `inherited` (from licence_path, the nearest directory above that a licence file governs; the file's own
     directory comes first) or null with null licence. Several licence files of a directory: the greatest cosine, then
     the first by name. Null and empty texts have no notice but inherit; a null path is in no directory. Rows may
-    repeat; they get equal answers. known: template, licence, text. Other columns are ignored.
+    repeat; they get equal answers. known: template, licence, text; with other templates no bodies are used. Other
+    columns are ignored.
 
     Lines are scored once per distinct line and directories once per distinct directory, so a notice or a directory
     that a third of the files share is one row until the last joins, which adaptive execution splits.
     """
     spark = files.sparkSession
     files = files.select("id", "path", "text")
+    bodies = _bodies() if known is None else {}
     known = templates(spark) if known is None else known
     total = files.count()
-    idf, vectors = _weights(files, known, total)
-    anchors = _anchors(vectors, cosine)
-    lines = F.filter(F.split("text", "\n"), lambda line: F.arrays_overlap(terms(line), F.array(*map(F.lit, anchors)).cast("array<string>")))
-    noted = files.select("id", "path", "text", F.explode(lines).alias("line")).select("id", "path", F.xxhash64("text").alias("x"), F.size(terms(F.col("text"))).alias("words"), "line")
+    vocabulary = [r["term"] for r in known.select(F.explode(terms(F.col("text"))).alias("term")).distinct().orderBy("term").collect()]
+    df = _frequencies(files, sorted({*vocabulary, *(t for c in bodies.values() for t in c)}))
+    idf, vectors = _weights(known, df, vocabulary, total)
+    anchors, names = _anchors(vectors, cosine), [r["licence"] for r in known.select("licence").distinct().collect()]
+    most = known.agg(F.max(F.size(terms(F.col("text"))))).first()[0] or 0
+    split = files.select("id", "path", "text", F.xxhash64("text").alias("x"), terms(F.col("text")).alias("w")).withColumn("words", F.size("w"))
+    marked = split.where(F.arrays_overlap("w", _literal(anchors)))
+    lines = F.filter(F.split("text", "\n"), lambda line: F.arrays_overlap(terms(line), _literal(anchors)))
+    noted = marked.select("id", "path", "x", "words", F.explode(lines).alias("line"), F.lit("line").alias("kind"))
+    short = marked.where(F.col("words") <= 2 * most).select("id", "path", "x", "words", F.array_join("w", " ").alias("line"), F.lit("text").alias("kind"))
+    noted = noted.unionByName(short).unionByName(_windows(split, known, _anchors(vectors, max(cosine, WINDOW))).withColumn("kind", F.lit("window")))
 
     seen = noted.select("line").distinct().withColumn("term", F.explode(terms(F.col("line")))).groupBy("line", "term").agg(F.count(F.lit(1)).alias("tf"))
     weighed = seen.join(idf, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.log(F.lit(total + 2.0))))
@@ -92,9 +179,13 @@ def scan_licences(files: DataFrame, known: DataFrame | None = None, cosine: floa
     best = F.struct((-F.col("score")).alias("order"), F.col("licence"))
     notices = scored.groupBy("line").agg(F.min(best).alias("best"), F.first("line_words").alias("line_words"))
 
-    own = noted.join(notices, "line").groupBy("id", "path", "x").agg(F.min("best").alias("best"), F.sum("line_words").alias("noted"), F.first("words").alias("words"))
+    found = noted.join(notices, "line").where((F.col("kind") != "window") | (-F.col("best.order") >= WINDOW))
+    found = found.select("id", "path", "x", "words", "best", F.when(F.col("kind") == "line", F.col("line_words")).otherwise(0).alias("line_words"), (F.col("kind") == "text").alias("whole"))
+    for more, whole in ((_whole(split, bodies, df, total), True), (_identifiers(split, names), False)):
+        found = found.unionByName(more.withColumn("line_words", F.lit(0)).withColumn("whole", F.lit(whole)))
+    own = found.groupBy("id", "path", "x").agg(F.min("best").alias("best"), F.sum("line_words").alias("noted"), F.first("words").alias("words"), F.max("whole").alias("whole"))
     parent = F.regexp_replace("path", "/?[^/]*$", "")
-    governed = own.where((F.col("noted") >= file_share * F.col("words")) & F.col("path").isNotNull()).groupBy(parent.alias("above")).agg(F.min("best").alias("inherited"))
+    governed = own.where((F.col("whole") | (F.col("noted") >= file_share * F.col("words"))) & F.col("path").isNotNull()).groupBy(parent.alias("above")).agg(F.min("best").alias("inherited"))
     steps = F.split("dir", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(steps)), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/"))
     dirs = files.where("path is not null").select(parent.alias("dir")).distinct()

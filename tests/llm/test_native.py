@@ -172,3 +172,30 @@ def test_licences(spark, odd, empty):
     plain = odd.select(F.col("doc_id").alias("id"), F.col("source").alias("path"), "text", "key", "n")
     assert licenses.scan_licences(plain).count() == odd.count()
     assert licenses.scan_licences(empty.select(F.col("doc_id").alias("id"), F.col("source").alias("path"), "text")).count() == 0
+
+
+def test_licences_beyond_single_lines(spark):
+    mit = (licenses.TEXTS / "MIT.txt").read_text()
+    wrapped = "# Use of this source code is governed by\n# a BSD-style license that can be found\n# in the LICENSE file.\n\n" + "value = other(thing)\n" * 60
+    files = [
+        (1, "m/LICENSE", mit.replace("<year> <copyright holders>", "2021 The Authors")),
+        (2, "m/src/a.c", "int main"),
+        (3, "n/b.c", "// Copyright 2021 The Authors. Released under the MIT License."),
+        (4, "n/c.c", "Copyright 2020 Example Corp. All rights reserved. Licensed under the Apache License, Version 2.0."),
+        (5, "n/d.c", "some plain words stand before Released under the MIT License. and some more of them stand after it"),
+        (6, "n/e.py", wrapped),
+        (7, "n/f.py", "# SPDX-License-Identifier: GPL-3.0-or-later\nx = 1"),
+        (8, "q/g.py", "# SPDX-License-Identifier: ISC\nx = 1"),
+        (9, "g/COPYING", (licenses.TEXTS / "GPL-3.0.txt").read_text()),
+        (10, "g/x/y", None),
+        (11, "h/a", "the license of the source is a matter of this file and of that work"),
+        (12, "k/LICENSE", "Licensed under the\nApache License,\nVersion 2.0."),
+        (13, "k/z", ""),
+    ]
+    files += [(100 + i, f"o/{i}", f"other words of file {i}") for i in range(100)]
+    got = {r.id: (r.licence, r.origin) for r in licenses.scan_licences(spark.createDataFrame(files, "id long, path string, text string")).collect()}
+    assert {i: v for i, v in got.items() if i < 100} == {
+        1: ("MIT", "own"), 2: ("MIT", "inherited"), 3: ("MIT", "own"), 4: ("Apache-2.0", "own"), 5: ("MIT", "own"), 6: ("BSD-3-Clause", "own"), 7: ("GPL-3.0", "own"),
+        8: (None, None), 9: ("GPL-3.0", "own"), 10: ("GPL-3.0", "inherited"), 11: (None, None), 12: ("Apache-2.0", "own"), 13: ("Apache-2.0", "inherited"),
+    }
+    assert all(got[100 + i] == (None, None) for i in range(100))
