@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -16,28 +17,59 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; one of our own only where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in spark.checkpoint.dir, which driver and executors share; one of our own only where it is unset.
+
+    A folder of our own is one of this machine, so it is refused unless the executors run on it too.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if path:
         return path.rstrip("/")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="marlstone-"))
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="marlstone-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: the lineage ends there and a lost executor costs nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _fs(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
 
+@contextlib.contextmanager
+def _shuffles_end_with_their_query(spark: SparkSession):
+    """Spark deletes the shuffle files of a query when the query ends, not when the driver's garbage is collected."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, old)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Writes df to the shared folder and reads it back: the lineage ends there and a lost executor costs nothing.
 
-def drop_stored(df: DataFrame) -> None:
-    """Deletes the files of a table that stored() has written and that no later plan reads."""
+    The table goes with drop_stored(), or else when the driver ends.
+    """
     spark = df.sparkSession
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    with _shuffles_end_with_their_query(spark):
+        df.write.parquet(path)
+    fs, at = _fs(spark, path)
+    fs.deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(*tables: DataFrame) -> None:
+    """Deletes the files of tables that stored() has written and that no later plan reads."""
+    for df in tables:
+        for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+            fs, at = _fs(df.sparkSession, f)
+            fs.delete(at, True)
 
 
 def ascii_lower(x: Column) -> Column:

@@ -18,6 +18,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import drop_stored, stored
+
 #: Least cosine of a notice; least share of a file's words in notices that makes it a licence file.
 COSINE, FILE_SHARE = 0.6, 0.5
 #: Least cosine of a run of words, which has a template's length and so no words beside it; least cosine of a whole file to a licence's body.
@@ -53,14 +55,12 @@ def terms(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), _CUT), "")
 
 
-def _frequencies(files: DataFrame, vocabulary: list[str]) -> dict[str, int]:
-    """Files that have each term of the vocabulary; as many rows as that has, whatever the size of the corpus."""
-    mine = F.array_intersect(terms(F.col("text")), _literal(vocabulary))
-    return {r["term"]: r["df"] for r in files.select(F.explode(mine).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()}
-
-
-def _literal(words: list[str]) -> Column:
-    return F.split(F.lit(" ".join(words)), " ") if words else F.array().cast("array<string>")
+def _frequencies(files: DataFrame, vocabulary: list[str]) -> tuple[dict[str, int], int]:
+    """Files that have each term of the vocabulary, and all files, from one scan; as many rows as that has, whatever the size of the corpus."""
+    mine = F.array_distinct(F.filter(terms(F.col("text")), lambda t: t.isin(vocabulary)))
+    told = files.select(F.explode(F.concat(mine, F.array(F.lit("")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    found = {r["term"]: r["df"] for r in told.collect()}
+    return found, found.pop("", 0)
 
 
 def _table(spark: SparkSession, rows: list[tuple], columns: str, empty: str) -> DataFrame:
@@ -89,55 +89,75 @@ def _anchors(vectors: DataFrame, cosine: float) -> list[str]:
     return [r["term"] for r in rows.select("term").distinct().orderBy("term").collect()]
 
 
-def _windows(files: DataFrame, known: DataFrame, anchors: list[str]) -> DataFrame:
-    """id, path, x, words, line: around each anchor term of a file, the words that a template aligned there would cover."""
-    aligned = sorted({(t, at, len(r["terms"])) for r in known.select(terms(F.col("text")).alias("terms")).collect() for at, t in enumerate(r["terms"]) if t in set(anchors)})
-    most = max((n for _, _, n in aligned), default=1)
-    at = F.transform("w", lambda t, i: F.struct(t.alias("term"), i.alias("i")))
-    hits = files.where(F.arrays_overlap("w", _literal(anchors))).select("id", "path", "x", "words", "w", F.filter(at, lambda h: h["term"].isin(anchors)).alias("hits"))
+def _aligned(known: DataFrame, anchors: list[str]) -> list[tuple[str, int, int]]:
+    """Where the anchor terms stand in templates: term, its place, and the template's length."""
+    return sorted({(t, at, len(r["terms"])) for r in known.select(terms(F.col("text")).alias("terms")).collect() for at, t in enumerate(r["terms"]) if t in set(anchors)})
+
+
+def _near(w: Column, anchors: list[str], most: int) -> Column:
+    """The anchor terms among words: each term, the words around it, and its place in them."""
+    at = F.transform(w, lambda t, i: F.struct(t.alias("term"), i.alias("i")))
     low = lambda h: F.greatest(h["i"] - most, F.lit(0))
-    near = F.transform("hits", lambda h: F.struct(h["term"].alias("term"), (h["i"] - low(h)).alias("i"), F.slice("w", low(h) + 1, F.lit(2 * most)).alias("w")))
+    return F.transform(F.filter(at, lambda h: h["term"].isin(anchors)), lambda h: F.struct(h["term"].alias("term"), (h["i"] - low(h)).alias("i"), F.slice(w, low(h) + 1, F.lit(2 * most)).alias("w")))
+
+
+def _windows(units: DataFrame, aligned: list[tuple[str, int, int]]) -> DataFrame:
+    """id, path, x, words, line: around each anchor term of a file, the words that a template aligned there would cover."""
     start = F.col("hit.i") - F.col("at")
     window = F.slice("hit.w", F.greatest(start, F.lit(0)) + 1, F.col("n") + F.least(start, F.lit(0)))
-    table = _table(files.sparkSession, aligned, "anchor, at, n", "('', 0, 1)")
-    return hits.select("id", "path", "x", "words", F.explode(near).alias("hit")).join(F.broadcast(table), F.col("hit.term") == F.col("anchor")).select("id", "path", "x", "words", F.array_join(window, " ").alias("line")).distinct()
-
-
-def _whole(files: DataFrame, bodies: dict[str, Counter], df: dict[str, int], total: int) -> DataFrame:
-    """id, path, x, words, best: files whose cosine to a body is BODY or more."""
-    idf = lambda t: math.log((total + 2.0) / (df.get(t, 0) + 1.0))
-    rows, fits, fewest = [], F.lit(False), math.inf
-    for name, counts in bodies.items():
-        weights = {t: n * idf(t) for t, n in counts.items()}
-        norm = math.sqrt(sum(w * w for w in weights.values()))
-        rows += [(name, t, w / norm) for t, w in weights.items()]
-        # a file of that cosine has so many of the body's terms that their weights make up the cosine
-        reach, least = 0.0, 0
-        for w in sorted(weights.values(), reverse=True):
-            if reach >= (BODY * norm) ** 2 * (1 - 1e-9):
-                break
-            reach, least = reach + w * w, least + 1
-        fits, fewest = fits | (F.size(F.array_intersect("w", _literal(sorted(counts)))) >= least), min(fewest, least)
-    every = sorted({t for c in bodies.values() for t in c})
-    spark = files.sparkSession
-    vectors = _table(spark, rows, "licence, term, weight", "('', '', 0.0D)").withColumn("weight", F.col("weight").cast("double"))
-    values = _table(spark, [(t, idf(t)) for t in every], "term, idf", "('', 0.0D)").withColumn("idf", F.col("idf").cast("double"))
-    near = files.where((F.size(F.array_intersect("w", _literal(every))) >= (fewest if bodies else 1 << 30)) & fits)
-    seen = near.select("x", "w").dropDuplicates(["x"]).select("x", F.explode("w").alias("term")).groupBy("x", "term").agg(F.count(F.lit(1)).alias("tf"))
-    weighed = seen.join(F.broadcast(values), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.log(F.lit(total + 2.0))))
-    norms = weighed.groupBy("x").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighed.join(F.broadcast(vectors), "term").groupBy("x", "licence").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    score = F.round(F.col("dot") / F.col("norm"), 9)
-    best = dots.join(norms, "x").withColumn("score", score).where(F.col("score") >= BODY).groupBy("x").agg(F.min(F.struct((-F.col("score")).alias("order"), F.col("licence"))).alias("best"))
-    return near.select("id", "path", "x", "words").join(best, "x").select("id", "path", "x", "words", "best")
-
-
-def _identifiers(files: DataFrame, names: list[str]) -> DataFrame:
-    """id, path, x, words, best: SPDX identifiers of the licences in names, later versions allowed or not."""
-    told = F.regexp_extract_all("text", F.lit(r"SPDX-License-Identifier:[ \t]*([^\r\n]*)"), F.lit(1))
+    table = _table(units.sparkSession, aligned, "anchor, at, n", "('', 0, 1)")
+    hits = units.select("id", "path", "x", "words", F.explode("hits").alias("hit"))
+    return hits.join(F.broadcast(table), F.col("hit.term") == F.col("anchor")).select("id", "path", "x", "words", F.array_join(window, " ").alias("line")).distinct()
+
+
+class _Bodies:
+    """The bodies as unit vectors, and which files may be near one."""
+
+    def __init__(self, bodies: dict[str, Counter], df: dict[str, int], total: int):
+        self.total, self.rows, self.least = total, [], []
+        idf = lambda t: math.log((total + 2.0) / (df.get(t, 0) + 1.0))
+        for name, counts in bodies.items():
+            weights = {t: n * idf(t) for t, n in counts.items()}
+            norm = math.sqrt(sum(w * w for w in weights.values()))
+            self.rows += [(name, t, w / norm) for t, w in weights.items()] if norm else []
+            # a file of that cosine has so many of the body's terms that their weights make up the cosine
+            reach, least = 0.0, 0
+            for w in sorted(weights.values(), reverse=True):
+                if reach >= (BODY * norm) ** 2 * (1 - 1e-9):
+                    break
+                reach, least = reach + w * w, least + 1
+            self.least.append((sorted(counts), least))
+        self.terms = sorted({t for c in bodies.values() for t in c})
+        self.idf = [(t, idf(t)) for t in self.terms]
+
+    def fits(self, w: Column) -> Column:
+        """Whether words have enough distinct terms of a body."""
+        some = lambda own, least: F.size(F.array_distinct(F.filter(w, lambda t: t.isin(own)))) >= least
+        fits = F.lit(False)
+        for own, least in self.least:
+            fits = fits | some(own, least)
+        return (F.size(w) >= min((n for _, n in self.least), default=1 << 30)) & fits
+
+    def score(self, units: DataFrame) -> DataFrame:
+        """id, path, x, words, best: files whose cosine to a body is BODY or more."""
+        spark = units.sparkSession
+        vectors = _table(spark, self.rows, "licence, term, weight", "('', '', 0.0D)").withColumn("weight", F.col("weight").cast("double"))
+        values = _table(spark, self.idf, "term, idf", "('', 0.0D)").withColumn("idf", F.col("idf").cast("double"))
+        near = units.where("body is not null")
+        seen = near.select("x", "body").dropDuplicates(["x"]).select("x", F.explode("body").alias("term")).groupBy("x", "term").agg(F.count(F.lit(1)).alias("tf"))
+        weighed = seen.join(F.broadcast(values), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.log(F.lit(self.total + 2.0))))
+        norms = weighed.groupBy("x").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+        dots = weighed.join(F.broadcast(vectors), "term").groupBy("x", "licence").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+        score = F.round(F.col("dot") / F.col("norm"), 9)
+        best = dots.join(norms, "x").withColumn("score", score).where(F.col("score") >= BODY).groupBy("x").agg(F.min(F.struct((-F.col("score")).alias("order"), F.col("licence"))).alias("best"))
+        return near.select("id", "path", "x", "words").join(best, "x").select("id", "path", "x", "words", "best")
+
+
+def _identifiers(text: Column, names: list[str]) -> Column:
+    """SPDX identifiers of the licences in names, later versions allowed or not."""
+    told = F.regexp_extract_all(text, F.lit(r"SPDX-License-Identifier:[ \t]*([^\r\n]*)"), F.lit(1))
     ids = F.transform(F.flatten(F.transform(told, lambda t: F.split(t, "[^A-Za-z0-9.+-]+"))), lambda t: F.regexp_replace(t, r"(-only|-or-later|\+)$", ""))
-    rows = files.where(F.col("text").contains("SPDX-License-Identifier:")).select("id", "path", "x", "words", F.explode(F.array_distinct(ids)).alias("licence"))
-    return rows.where(F.col("licence").isin(names)).select("id", "path", "x", "words", F.struct(F.lit(-1.0).alias("order"), F.col("licence")).alias("best"))
+    return F.when(text.contains("SPDX-License-Identifier:"), F.array_distinct(F.filter(ids, lambda t: t.isin(names))))
 
 
 def scan_licences(files: DataFrame, known: DataFrame | None = None, cosine: float = COSINE, file_share: float = FILE_SHARE) -> DataFrame:
@@ -148,50 +168,66 @@ def scan_licences(files: DataFrame, known: DataFrame | None = None, cosine: floa
     `inherited` (from licence_path, the nearest directory above that a licence file governs; the file's own
     directory comes first) or null with null licence. Several licence files of a directory: the greatest cosine, then
     the first by name. Null and empty texts have no notice but inherit; a null path is in no directory. Rows may
-    repeat; they get equal answers. known: template, licence, text; with other templates no bodies are used. Other
+    repeat; they get equal answers, and count once each in the share of notices. known: template, licence, text; with other templates no bodies are used. Other
     columns are ignored.
 
-    Lines are scored once per distinct line and directories once per distinct directory, so a notice or a directory
-    that a third of the files share is one row until the last joins, which adaptive execution splits.
+    The texts are read twice: once for the frequencies and once for the few units of each file that are scored, which
+    are written out. Lines are scored once per distinct line and directories once per distinct directory, so a notice
+    or a directory that a third of the files share is one row until the last joins, which adaptive execution splits.
     """
     spark = files.sparkSession
     files = files.select("id", "path", "text")
     bodies = _bodies() if known is None else {}
     known = templates(spark) if known is None else known
-    total = files.count()
     vocabulary = [r["term"] for r in known.select(F.explode(terms(F.col("text"))).alias("term")).distinct().orderBy("term").collect()]
-    df = _frequencies(files, sorted({*vocabulary, *(t for c in bodies.values() for t in c)}))
+    df, total = _frequencies(files, sorted({*vocabulary, *(t for c in bodies.values() for t in c)}))
     idf, vectors = _weights(known, df, vocabulary, total)
     anchors, names = _anchors(vectors, cosine), [r["licence"] for r in known.select("licence").distinct().collect()]
+    aligned = _aligned(known, _anchors(vectors, max(cosine, WINDOW)))
     most = known.agg(F.max(F.size(terms(F.col("text"))))).first()[0] or 0
-    split = files.select("id", "path", "text", F.xxhash64("text").alias("x"), terms(F.col("text")).alias("w")).withColumn("words", F.size("w"))
-    marked = split.where(F.arrays_overlap("w", _literal(anchors)))
-    lines = F.filter(F.split("text", "\n"), lambda line: F.arrays_overlap(terms(line), _literal(anchors)))
-    noted = marked.select("id", "path", "x", "words", F.explode(lines).alias("line"), F.lit("line").alias("kind"))
-    short = marked.where(F.col("words") <= 2 * most).select("id", "path", "x", "words", F.array_join("w", " ").alias("line"), F.lit("text").alias("kind"))
-    noted = noted.unionByName(short).unionByName(_windows(split, known, _anchors(vectors, max(cosine, WINDOW))).withColumn("kind", F.lit("window")))
+    body = _Bodies(bodies, df, total)
+
+    has = lambda w: F.exists(w, lambda t: t.isin(anchors))
+    split = files.select("id", "path", "text", F.xxhash64("text").alias("x"), terms(F.col("text")).alias("w")).withColumn("words", F.size("w")).withColumn("marked", has(F.col("w")))
+    split = split.select(
+        "id", "path", "x", "words",
+        F.when(F.col("marked"), F.filter(F.split("text", "\n"), lambda line: has(terms(line)))).alias("lines"),
+        F.when(F.col("marked") & (F.col("words") <= 2 * most), F.array_join("w", " ")).alias("short"),
+        F.when(F.col("marked"), _near(F.col("w"), sorted({t for t, _, _ in aligned}), max((n for _, _, n in aligned), default=1))).alias("hits"),
+        F.when(body.fits(F.col("w")), F.col("w")).alias("body"),
+        _identifiers(F.col("text"), names).alias("spdx"),
+    )
+    split = stored(split, "units")
+    # a row that repeats has its units once
+    units = split.where("lines is not null or body is not null or spdx is not null").dropDuplicates(["id", "path", "x"])
+    noted = units.select("id", "path", "x", "words", F.explode("lines").alias("line"), F.lit("line").alias("kind"))
+    noted = noted.unionByName(units.where("short is not null").select("id", "path", "x", "words", F.col("short").alias("line"), F.lit("text").alias("kind")))
+    noted = stored(noted.unionByName(_windows(units, aligned).withColumn("kind", F.lit("window"))), "noted")
 
     seen = noted.select("line").distinct().withColumn("term", F.explode(terms(F.col("line")))).groupBy("line", "term").agg(F.count(F.lit(1)).alias("tf"))
-    weighed = seen.join(idf, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.log(F.lit(total + 2.0))))
+    weighed = seen.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.log(F.lit(total + 2.0))))
     norms = weighed.groupBy("line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum("tf").alias("line_words"))
-    dots = weighed.join(vectors, "term").groupBy("line", "template", "licence").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    dots = weighed.join(F.broadcast(vectors), "term").groupBy("line", "template", "licence").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     scored = dots.join(norms, "line").withColumn("score", F.round(F.col("dot") / F.col("norm"), 9)).where(F.col("score") >= cosine)
     best = F.struct((-F.col("score")).alias("order"), F.col("licence"))
-    notices = scored.groupBy("line").agg(F.min(best).alias("best"), F.first("line_words").alias("line_words"))
+    notices = stored(scored.groupBy("line").agg(F.min(best).alias("best"), F.first("line_words").alias("line_words")), "notices")
 
     found = noted.join(notices, "line").where((F.col("kind") != "window") | (-F.col("best.order") >= WINDOW))
     found = found.select("id", "path", "x", "words", "best", F.when(F.col("kind") == "line", F.col("line_words")).otherwise(0).alias("line_words"), (F.col("kind") == "text").alias("whole"))
-    for more, whole in ((_whole(split, bodies, df, total), True), (_identifiers(split, names), False)):
+    named = units.select("id", "path", "x", "words", F.explode("spdx").alias("licence")).select("id", "path", "x", "words", F.struct(F.lit(-1.0).alias("order"), F.col("licence")).alias("best"))
+    for more, whole in ((body.score(units), True), (named, False)):
         found = found.unionByName(more.withColumn("line_words", F.lit(0)).withColumn("whole", F.lit(whole)))
     own = found.groupBy("id", "path", "x").agg(F.min("best").alias("best"), F.sum("line_words").alias("noted"), F.first("words").alias("words"), F.max("whole").alias("whole"))
+    own = stored(own, "own")
+    drop_stored(noted, notices)
     parent = F.regexp_replace("path", "/?[^/]*$", "")
     governed = own.where((F.col("whole") | (F.col("noted") >= file_share * F.col("words"))) & F.col("path").isNotNull()).groupBy(parent.alias("above")).agg(F.min("best").alias("inherited"))
     steps = F.split("dir", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(steps)), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/"))
-    dirs = files.where("path is not null").select(parent.alias("dir")).distinct()
+    dirs = split.where("path is not null").select(parent.alias("dir")).distinct()
     near = dirs.select("dir", F.explode(F.array_distinct(above)).alias("above")).join(governed, "above").groupBy("dir").agg(F.max(F.struct(F.length("above").alias("n"), "above", "inherited")).alias("near"))
 
-    rows = files.select("id", "path", F.xxhash64("text").alias("x"), parent.alias("dir"))
+    rows = split.select("id", "path", "x", parent.alias("dir"))
     mine = own.select(F.col("id").alias("_id"), F.col("path").alias("_path"), F.col("x").alias("_x"), "best")
     rows = rows.join(mine, F.col("id").eqNullSafe(F.col("_id")) & F.col("path").eqNullSafe(F.col("_path")) & (F.col("x") == F.col("_x")), "left").join(near, "dir", "left")
     has, inherits = F.col("best").isNotNull(), F.col("near").isNotNull()

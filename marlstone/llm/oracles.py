@@ -74,15 +74,17 @@ tt AS (SELECT template, licence, term, count(*) AS tf FROM (SELECT template, lic
 df AS (SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{_TERM}')) AS term FROM f) WHERE term IN (SELECT term FROM tt) GROUP BY term),
 idf AS (SELECT DISTINCT tt.term, ln((n.n + 2)::DOUBLE / (coalesce(df, 0) + 1)) AS idf FROM tt LEFT JOIN df ON tt.term = df.term, n),
 tv AS (SELECT template, licence, term, tf * idf AS w, sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY template)) AS norm FROM tt JOIN idf USING (term)),
-lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM f),
+u AS (SELECT DISTINCT doc_id, path, text FROM f),
+lines AS (SELECT doc_id, path, text, unnest(string_split(text, chr(10))) AS line FROM u),
 lt AS (SELECT line, term, count(*) AS tf FROM (SELECT line, unnest(regexp_extract_all(lower(line), '{_TERM}')) AS term FROM (SELECT DISTINCT line FROM lines)) GROUP BY ALL),
 lv AS (SELECT line, lt.term, tf, tf * coalesce(idf, ln(n.n + 2)) AS w FROM lt LEFT JOIN idf ON lt.term = idf.term, n),
 ln_ AS (SELECT line, sqrt(sum(w * w)) AS norm, sum(tf) AS words FROM lv GROUP BY line),
 sc AS (SELECT line, words, licence, round(sum(lv.w * tv.w / tv.norm) / any_value(ln_.norm), 9) AS score FROM lv JOIN tv ON lv.term = tv.term JOIN ln_ USING (line) GROUP BY line, words, template, licence),
 bl AS (SELECT line, words, licence, score FROM sc WHERE score >= 0.6 QUALIFY row_number() OVER (PARTITION BY line ORDER BY score DESC, licence) = 1),
-own AS (SELECT doc_id, licence, score, sum(words) OVER (PARTITION BY doc_id) AS noted FROM lines JOIN bl USING (line) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, licence) = 1),
-g AS (SELECT regexp_replace(path, '/?[^/]*$', '') AS above, licence, score FROM own JOIN f USING (doc_id) WHERE noted >= 0.5 * len(regexp_extract_all(lower(text), '{_TERM}')) QUALIFY row_number() OVER (PARTITION BY above ORDER BY score DESC, licence) = 1),
-near AS (SELECT f.doc_id, above, g.licence, g.score FROM f JOIN g ON above = '' OR above = regexp_replace(path, '/?[^/]*$', '') OR starts_with(regexp_replace(path, '/?[^/]*$', ''), above || '/') QUALIFY row_number() OVER (PARTITION BY f.doc_id ORDER BY length(above) DESC) = 1)
-SELECT f.doc_id, f.path, CASE WHEN own.doc_id IS NOT NULL THEN own.licence ELSE near.licence END AS licence, CASE WHEN own.doc_id IS NOT NULL THEN own.score ELSE near.score END AS score, CASE WHEN own.doc_id IS NOT NULL THEN 'own' WHEN near.doc_id IS NOT NULL THEN 'inherited' END AS origin, CASE WHEN own.doc_id IS NULL THEN near.above END AS licence_path
-FROM f LEFT JOIN own ON f.doc_id = own.doc_id LEFT JOIN near ON f.doc_id = near.doc_id""",
+own AS (SELECT doc_id, path, text, licence, score, sum(words) OVER (PARTITION BY doc_id, path, text) AS noted FROM lines JOIN bl USING (line) QUALIFY row_number() OVER (PARTITION BY doc_id, path, text ORDER BY score DESC, licence) = 1),
+g AS (SELECT regexp_replace(path, '/?[^/]*$', '') AS above, licence, score FROM own WHERE noted >= 0.5 * len(regexp_extract_all(lower(text), '{_TERM}')) QUALIFY row_number() OVER (PARTITION BY above ORDER BY score DESC, licence) = 1),
+dirs AS (SELECT DISTINCT regexp_replace(path, '/?[^/]*$', '') AS dir FROM f),
+near AS (SELECT dir, above, g.licence, g.score FROM dirs JOIN g ON above = '' OR above = dir OR starts_with(dir, above || '/') QUALIFY row_number() OVER (PARTITION BY dir ORDER BY length(above) DESC) = 1)
+SELECT f.doc_id, f.path, CASE WHEN own.licence IS NOT NULL THEN own.licence ELSE near.licence END AS licence, CASE WHEN own.licence IS NOT NULL THEN own.score ELSE near.score END AS score, CASE WHEN own.licence IS NOT NULL THEN 'own' WHEN near.dir IS NOT NULL THEN 'inherited' END AS origin, CASE WHEN own.licence IS NULL THEN near.above END AS licence_path
+FROM f LEFT JOIN own ON f.doc_id IS NOT DISTINCT FROM own.doc_id AND f.path = own.path AND f.text = own.text LEFT JOIN near ON regexp_replace(f.path, '/?[^/]*$', '') = near.dir""",
 }

@@ -168,6 +168,8 @@ def test_licences(spark, odd, empty):
     df = spark.createDataFrame(files, "id long, path string, text string")
     got = {r.id: (r.licence, r.origin) for r in licenses.scan_licences(df).collect()}
     assert got == brute_licence(files)
+    again = licenses.scan_licences(df.unionByName(df).unionByName(df.where("id in (1, 3)"))).collect()  # repeated rows change nothing
+    assert Counter((r.id, r.licence, r.origin) for r in again) == Counter({(i, *v): 3 if i in (1, 3) else 2 for i, v in got.items()})
     assert got[2] == ("Apache-2.0", "inherited") and got[3] == ("CC-BY-NC-4.0", "own") and got[7] == ("MIT", "inherited") and got[4] == (None, None)
     plain = odd.select(F.col("doc_id").alias("id"), F.col("source").alias("path"), "text", "key", "n")
     assert licenses.scan_licences(plain).count() == odd.count()
