@@ -114,29 +114,33 @@ class _Bodies:
     """The bodies as unit vectors, and which files may be near one."""
 
     def __init__(self, bodies: dict[str, Counter], df: dict[str, int], total: int):
-        self.total, self.rows, self.least = total, [], []
+        self.total, self.rows, self.classes = total, [], []
         idf = lambda t: math.log((total + 2.0) / (df.get(t, 0) + 1.0))
         for name, counts in bodies.items():
             weights = {t: n * idf(t) for t, n in counts.items()}
             norm = math.sqrt(sum(w * w for w in weights.values()))
             self.rows += [(name, t, w / norm) for t, w in weights.items()] if norm else []
-            # a file of that cosine has so many of the body's terms that their weights make up the cosine
-            reach, least = 0.0, 0
-            for w in sorted(weights.values(), reverse=True):
-                if reach >= (BODY * norm) ** 2 * (1 - 1e-9):
-                    break
-                reach, least = reach + w * w, least + 1
-            self.least.append((sorted(counts), least))
+            # by Cauchy-Schwarz a file of that cosine has body terms whose squared weights sum to BODY^2 of the body's;
+            # terms of about one weight are counted together, each as the heaviest of them
+            top = max(weights.values(), default=0.0)
+            classes: dict[int, list[str]] = {}
+            for t, w in sorted(weights.items()):
+                classes.setdefault(min(int(2 * math.log2(top / w)), 16) if w > 0 else 16, []).append(t)
+            self.classes.append(((BODY * norm) ** 2 * (1 - 1e-9), [(max(weights[t] for t in own) ** 2, own) for _, own in sorted(classes.items())]))
         self.terms = sorted({t for c in bodies.values() for t in c})
         self.idf = [(t, idf(t)) for t in self.terms]
 
-    def fits(self, w: Column) -> Column:
-        """Whether words have enough distinct terms of a body."""
-        some = lambda own, least: F.size(F.array_distinct(F.filter(w, lambda t: t.isin(own)))) >= least
+    def own(self, w: Column) -> Column:
+        """The distinct body terms among words."""
+        return F.array_distinct(F.filter(w, lambda t: t.isin(self.terms))) if self.terms else F.array().cast("array<string>")
+
+    def fits(self, own: Column) -> Column:
+        """Whether a file with these distinct body terms can reach the cosine with a body."""
+        count = lambda some: F.size(F.filter(own, lambda t: t.isin(some)))
         fits = F.lit(False)
-        for own, least in self.least:
-            fits = fits | some(own, least)
-        return (F.size(w) >= min((n for _, n in self.least), default=1 << 30)) & fits
+        for need, classes in self.classes:
+            fits = fits | (sum((count(some) * F.lit(w) for w, some in classes), F.lit(0.0)) >= need)
+        return fits
 
     def score(self, units: DataFrame) -> DataFrame:
         """id, path, x, words, best: files whose cosine to a body is BODY or more."""
@@ -188,13 +192,13 @@ def scan_licences(files: DataFrame, known: DataFrame | None = None, cosine: floa
     body = _Bodies(bodies, df, total)
 
     has = lambda w: F.exists(w, lambda t: t.isin(anchors))
-    split = files.select("id", "path", "text", F.xxhash64("text").alias("x"), terms(F.col("text")).alias("w")).withColumn("words", F.size("w")).withColumn("marked", has(F.col("w")))
+    split = files.select("id", "path", "text", F.xxhash64("text").alias("x"), terms(F.col("text")).alias("w")).withColumn("words", F.size("w")).withColumn("marked", has(F.col("w"))).withColumn("own", body.own(F.col("w")))
     split = split.select(
         "id", "path", "x", "words",
         F.when(F.col("marked"), F.filter(F.split("text", "\n"), lambda line: has(terms(line)))).alias("lines"),
         F.when(F.col("marked") & (F.col("words") <= 2 * most), F.array_join("w", " ")).alias("short"),
         F.when(F.col("marked"), _near(F.col("w"), sorted({t for t, _, _ in aligned}), max((n for _, _, n in aligned), default=1))).alias("hits"),
-        F.when(body.fits(F.col("w")), F.col("w")).alias("body"),
+        F.when(body.fits(F.col("own")), F.col("w")).alias("body"),
         _identifiers(F.col("text"), names).alias("spdx"),
     )
     split = stored(split, "units")
