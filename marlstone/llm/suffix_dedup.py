@@ -2,18 +2,18 @@
 
 Every window of `window` bytes belongs to the least of its hashed k-grams, its anchor; equal windows have equal
 anchors. So the corpus is cut into runs of windows around an anchor, and only runs whose anchor occurs in two
-documents or more go on. Runs of equal bytes are counted once, with their first document. Where an anchor has runs of
-different bytes, these contexts are laid end to end and suffix-sorted by linear grouping: suffixes are grouped by
-their Lyndon prefix, the groups are processed from the greatest down along previous-smaller pointers, and each suffix
-then takes the next place of its group, with no recursive renaming. Neighbours with a common prefix of a whole window
-are occurrences of one string, and the least document among them is its first.
+documents or more go on. Runs of equal bytes are one context, with the first and the last document that has it.
+The contexts of an anchor are laid end to end and suffix-sorted by linear grouping: suffixes are grouped by their
+Lyndon prefix, the groups are processed from the greatest down along previous-smaller pointers, and each suffix then
+takes the next place of its group, with no recursive renaming. Neighbours with a common prefix of a whole window are
+occurrences of one string, and the least document among them is its first: every removal follows from this order.
+
+An anchor with many contexts is split: each half of the window places around it shares a longer string, which takes
+the anchor's part, until no group is larger than a sort may be.
 """
 
 from __future__ import annotations
 
-import gc
-import time
-
 import pyspark.sql.types as T
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,76 +22,98 @@ from .common import drop_stored, stored
 from .jvm import register
 from .suffix_kernel import PACKAGE, SOURCE
 
-#: Bytes of a window and of a k-gram; bytes that are suffix-sorted together, about.
-WINDOW, GRAM, SORTED_BYTES = 50, 16, 1 << 20
-#: An anchor with more contexts of different bytes than this has its windows grouped through a shuffle of their own.
-MOST_CONTEXTS = 10_000
+#: Bytes of a window and of a k-gram; bytes that are suffix-sorted together, about; bytes of contexts of one anchor that aren't split.
+WINDOW, GRAM, SORTED_BYTES, GROUP_BYTES = 50, 16, 1 << 20, 1 << 20
+
+_LONG, _INT = T.LongType(), T.IntegerType()
+
+
+def _rows(*fields: tuple[str, T.DataType]) -> T.ArrayType:
+    return T.ArrayType(T.StructType([T.StructField(*f) for f in fields]))
 
-_RANGES = T.ArrayType(T.StructType([T.StructField("id", T.LongType()), T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())]))
-_RUNS = T.ArrayType(T.StructType([T.StructField("h", T.LongType()), T.StructField("c", T.LongType())]))
-_BYTES = T.ArrayType(T.StructType([T.StructField("c", T.LongType()), T.StructField("bytes", T.BinaryType())]))
-_CUT = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(T.IntegerType())), T.StructField("kept_sha256", T.StringType())])
+
+_TOLD = _rows(("c", _LONG), ("e", _LONG), ("a", _INT), ("b", _INT), ("low", _LONG))
+_RUNS = _rows(("h", _LONG), ("c", _LONG), ("e", _LONG))
+_BYTES = _rows(("i", _INT), ("at", _INT), ("bytes", T.BinaryType()))
+_CUT = T.StructType([T.StructField("n_bytes", _LONG), T.StructField("n_removed", _LONG), T.StructField("spans", T.ArrayType(_INT)), T.StructField("kept_sha256", T.StringType())])
 
 
 def install(spark: SparkSession) -> None:
     """Registers the kernel's functions with this session."""
-    register(spark, SOURCE, PACKAGE, {"marlstone_hashes": ("Hashes", T.ArrayType(T.LongType())), "marlstone_runs": ("Runs", _RUNS), "marlstone_pick": ("Pick", _BYTES), "marlstone_earlier": ("Earlier", _RANGES), "marlstone_cut": ("Cut", _CUT), "marlstone_suffix_order": ("Order", T.ArrayType(T.IntegerType()))})
+    register(spark, SOURCE, PACKAGE, {"marlstone_hashes": ("Hashes", T.ArrayType(_LONG)), "marlstone_runs": ("Runs", _RUNS), "marlstone_pick": ("Pick", _BYTES), "marlstone_earlier": ("Earlier", _TOLD), "marlstone_cut": ("Cut", _CUT), "marlstone_suffix_order": ("Order", T.ArrayType(_INT))})
+
 
+def _halves(contexts: DataFrame, window: int) -> DataFrame:
+    """c, e, shift and the contexts that the two halves of each context's windows are: h, at, g, c2, e2, first, last, bytes.
 
-def _settle(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of jobs that are over, before the next step writes its own."""
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.5)
+    All windows of a context have the g bytes at place `at`. Those that start close before it share what follows
+    too, and the others what stands before.
+    """
+    half, ends = F.floor((F.lit(window) - F.col("g")) / 2).cast("int"), F.length("bytes") - window
+    low = F.greatest(F.col("at") - half, F.lit(0))
+    high = F.least(ends, F.col("at") - half - 1)
+    part = lambda valid, shift, size, at, g: F.when(valid, F.struct(shift.alias("shift"), F.substring("bytes", shift + 1, size).alias("bytes"), at.alias("at"), g.alias("g")))
+    near = part(ends >= low, low, F.length("bytes") - low, F.col("at") - low, window - half)
+    far = part(high >= 0, F.lit(0), high + window, F.col("at") - half - 1, F.col("g") + half + 1)
+    parts = contexts.select("c", "e", "first", "last", F.posexplode(F.array(near, far)).alias("side", "p")).where("p is not null")
+    parts = parts.select("c", "e", "first", "last", "side", "p.*")
+    named = parts.withColumn("h", F.xxhash64(F.substring("bytes", F.col("at") + 1, F.col("g")), "side")).withColumn("m", F.md5("bytes"))
+    bits = lambda k: F.conv(F.substring("m", k, 15), 16, 10).cast("long")
+    return named.select("c", "e", "shift", "h", "at", "g", bits(1).bitwiseXOR(F.col("h")).alias("c2"), bits(16).alias("e2"), "first", "last", "bytes")
+
+
+def _told(contexts: DataFrame, window: int) -> DataFrame:
+    """contexts: h, c, e, first, last, at, g, bytes. c, e, a, b, low: the windows of a context that a document before its last one has, and the least such document."""
+    sizes = contexts.groupBy("h").agg(F.sum(F.length("bytes") + 1).alias("size"))
+    hot = stored(sizes.where(F.col("size") > GROUP_BYTES).select("h"), "hot")
+    few, split = contexts, hot.limit(1).count() > 0
+    if split:
+        few = contexts.join(hot, "h", "left_anti")
+    total = few.agg(F.sum(F.length("bytes") + 1)).first()[0] or 0
+    bucket = F.pmod("h", F.lit(max(1, -(-total // SORTED_BYTES))))
+    laid = few.groupBy(bucket.alias("bucket")).agg(F.collect_list(F.struct("c", "e", "first", "last", "bytes")).alias("all"))
+    told = stored(laid.select(F.explode(F.call_function("marlstone_earlier", "all", F.lit(window))).alias("r")).select("r.*"), "told")
+    if split:
+        halves = stored(_halves(contexts.join(hot, "h"), window), "halves")
+        own = halves.groupBy(F.col("c2").alias("c"), F.col("e2").alias("e")).agg(F.min("first").alias("first"), F.max("last").alias("last"), F.first(F.struct("h", "at", "g", "bytes")).alias("x"))
+        inner = stored(own.select("x.h", "c", "e", "first", "last", "x.at", "x.g", "x.bytes"), "contexts")
+        deeper = _told(inner, window).withColumnsRenamed({"c": "c2", "e": "e2"})
+        shift = halves.select("c", "e", "c2", "e2", "shift").join(deeper, ["c2", "e2"])
+        found = stored(shift.select("c", "e", (F.col("a") + F.col("shift")).alias("a"), (F.col("b") + F.col("shift")).alias("b"), "low"), "told")
+        drop_stored(halves, inner)
+        told = told.unionByName(found)
+    drop_stored(hot)
+    return told
 
 
 def earlier_ranges(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """rows: d (long), t (binary). d and its ranges: c, and the first and last start inside the run of c that a smaller d has; nulls: all."""
+    """rows: d (long), u (a hash of d and t), t (binary). u and its ranges: c, e, and the first and last start inside the run of these bytes that a smaller d has."""
     spark = rows.sparkSession
     install(spark)
     sizes = (F.lit(window), F.lit(gram))
-    hashes = rows.select("d", F.explode(F.call_function("marlstone_hashes", "t", *sizes)).alias("h"))
-    shared = stored(hashes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "anchors")
-    _settle(spark)
-    wanted = stored(hashes.join(shared, "h").groupBy("d").agg(F.collect_list("h").alias("hs")), "wanted")
+    hashes = rows.select("d", "u", F.explode(F.call_function("marlstone_hashes", "t", *sizes)).alias("h"))
+    shared = stored(hashes.groupBy("h").agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low < high").select("h"), "anchors")
+    # lists and ranges of a row have nothing twice, however often the row is repeated
+    wanted = stored(hashes.join(shared, "h").groupBy("u").agg(F.collect_set("h").alias("hs")), "wanted")
     drop_stored(shared)
-    _settle(spark)
 
-    # c stands for the bytes of a run, which fix its anchor h too
-    runs = rows.join(wanted, "d").select("d", F.explode(F.call_function("marlstone_runs", "t", *sizes, "hs")).alias("r")).select("d", "r.h", "r.c")
+    # c and e, 128 bits, stand for the bytes of a run, which fix its anchor h too
+    runs = rows.join(wanted, "u").select("d", "u", F.explode(F.call_function("marlstone_runs", "t", *sizes, "hs")).alias("r")).select("d", "u", "r.*")
     runs = stored(runs, "runs")
     drop_stored(wanted)
-    _settle(spark)
-    firsts = stored(runs.groupBy("h", "c").agg(F.min("d").alias("d")), "firsts")
-    _settle(spark)
-    several = stored(firsts.join(firsts.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "h"), "several")
-    _settle(spark)
-    own = several.groupBy("d").agg(F.collect_list("c").alias("cs"))
-    picked = rows.join(own, "d").select(F.explode(F.call_function("marlstone_pick", "t", *sizes, "cs")).alias("p")).select("p.*")
-    contexts = stored(picked.groupBy("c").agg(F.first("bytes").alias("bytes")).join(several, "c"), "contexts")
-    drop_stored(several)
-    _settle(spark)
-
-    total = contexts.where(F.col("m") <= MOST_CONTEXTS).agg(F.sum(F.length("bytes") + 1)).first()[0] or 0
-    buckets = max(1, -(-total // SORTED_BYTES))
-    few = contexts.where(F.col("m") <= MOST_CONTEXTS).groupBy(F.pmod("h", F.lit(buckets)).alias("bucket")).agg(F.collect_list(F.struct("c", "d", "bytes")).alias("all"))
-    few = few.select(F.explode(F.call_function("marlstone_earlier", "all", F.lit(window))).alias("r")).select(F.col("r.id").alias("c"), "r.a", "r.b")
-    many = contexts.where(F.col("m") > MOST_CONTEXTS).select("c", "d", "bytes", F.explode(F.sequence(F.lit(0), F.length("bytes") - window)).alias("a"))
-    many = many.select("c", "d", "a", F.expr(f"substring(bytes, a + 1, {window})").alias("w"))
-    least = many.groupBy("w").agg(F.min("d").alias("low"))
-    many = many.join(least, "w").where("low < d").select("c", "a", F.col("a").alias("b"))
-    parts = few.unionByName(many)
-
-    # a later document has the whole run; the first document of a run has what other runs of its anchor show earlier
-    told = runs.join(firsts.select("c", F.col("d").alias("first")), "c")
-    nothing = F.lit(None).cast("int")
-    whole = told.where("d > first").select("d", "c", nothing.alias("a"), nothing.alias("b"))
-    inside = firsts.select("d", "c").join(parts, "c").select("d", "c", "a", "b")
-    ranges = stored(whole.unionByName(inside).groupBy("d").agg(F.collect_list(F.struct("c", "a", "b")).alias("ranges")), "ranges")
-    for done in (runs, firsts, contexts):
-        drop_stored(done)
-    _settle(spark)
+    firsts = runs.groupBy("c", "e").agg(F.min("h").alias("h"), F.min("d").alias("first"), F.max("d").alias("last"), F.min("u").alias("u"))
+    own = stored(firsts.groupBy("u").agg(F.collect_list(F.struct("c", "e", "h", "first", "last")).alias("cs")), "own")
+    picked = rows.join(own, "u").select("cs", F.explode(F.call_function("marlstone_pick", "t", *sizes, "cs")).alias("p"))
+    picked = picked.select(F.element_at("cs", F.col("p.i") + 1).alias("x"), "p.at", "p.bytes").select("x.*", "at", "bytes")
+    contexts = picked.groupBy("c", "e").agg(F.first(F.struct("h", "first", "last", "at", "bytes")).alias("x")).select("c", "e", "x.*")
+    contexts = stored(contexts.withColumn("g", F.lit(gram)), "contexts")
+    drop_stored(own)
+
+    told = _told(contexts, window)
+    drop_stored(contexts)
+    found = runs.join(told, ["c", "e"]).where("low < d").groupBy("u").agg(F.collect_set(F.struct("c", "e", "a", "b")).alias("ranges"))
+    ranges = stored(found, "ranges")
+    drop_stored(runs, told)
     return ranges
 
 
@@ -101,11 +123,12 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     Texts are UTF-8 bytes; a null text is empty and a text shorter than the window loses nothing. Bytes covered by a
     window that also starts in a document with a smaller doc_id are removed; windows are judged on the input. spans:
     start and end of each maximal removed run, in bytes. Rows with one doc_id are one document: none is smaller than
-    another. A null doc_id is greater than all others. No rows: no rows. Other columns of docs are ignored.
+    another; a row that repeats gives equal results. A null doc_id counts as 2^63 - 1, the greatest. No rows: no
+    rows. Other columns of docs are ignored.
     """
-    most = (1 << 63) - 1
     t = F.coalesce(F.col("text").cast("binary"), F.lit(bytearray()))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(most)).alias("d"), t.alias("t"), F.col("doc_id").cast("long").alias("doc_id"))
-    ranges = earlier_ranges(rows.select("d", "t"), window, gram)
-    cut = rows.join(ranges, "d", "left").select("doc_id", F.call_function("marlstone_cut", "t", "ranges", F.lit(window), F.lit(gram)).alias("cut"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("d"), t.alias("t"), F.col("doc_id").cast("long").alias("doc_id"))
+    rows = rows.withColumn("u", F.xxhash64("d", "t"))
+    ranges = earlier_ranges(rows.select("d", "u", "t"), window, gram)
+    cut = rows.join(ranges, "u", "left").select("doc_id", F.call_function("marlstone_cut", "t", "ranges", F.lit(window), F.lit(gram)).alias("cut"))
     return cut.select("doc_id", "cut.n_bytes", "cut.n_removed", (F.size("cut.spans") / 2).cast("long").alias("n_spans"), "cut.kept_sha256", "cut.spans")

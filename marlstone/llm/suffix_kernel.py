@@ -17,9 +17,9 @@ import org.apache.spark.sql.api.java.UDF2;
 import org.apache.spark.sql.api.java.UDF3;
 import org.apache.spark.sql.api.java.UDF4;
 
-/** Runs of windows that share their least k-gram: {hash of the k-gram, hash of the run's bytes, first start, last start}. */
+/** Runs of windows that share their least k-gram: {hash of the k-gram, two hashes of the run's bytes, first start, last start, start of the k-gram}. */
 class Scan {
-  static final long M = 0x9E3779B97F4A7C15L;
+  static final long M = 0x9E3779B97F4A7C15L, M2 = 0xD1B54A32D192ED03L;
 
   static long mix(long x) {
     x = (x ^ (x >>> 30)) * 0xBF58476D1CE4E5B9L;
@@ -39,11 +39,14 @@ class Scan {
       x = (x - ((t[i - 1] & 255) + 1) * power) * M + (t[i + k - 1] & 255) + 1;
       h[i] = mix(x);
     }
-    long[] sum = new long[n + 1];
-    for (int i = 0; i < n; i++) sum[i + 1] = sum[i] * M + (t[i] & 255) + 1;
-    long[] powers = new long[2 * window + 1];
-    powers[0] = 1;
-    for (int i = 1; i < powers.length; i++) powers[i] = powers[i - 1] * M;
+    long[] sum = new long[n + 1], sum2 = new long[n + 1];
+    for (int i = 0; i < n; i++) {
+      sum[i + 1] = sum[i] * M + (t[i] & 255) + 1;
+      sum2[i + 1] = sum2[i] * M2 + BYTES[t[i] & 255];
+    }
+    long[] powers = new long[2 * window + 1], powers2 = new long[2 * window + 1];
+    powers[0] = powers2[0] = 1;
+    for (int i = 1; i < powers.length; i++) { powers[i] = powers[i - 1] * M; powers2[i] = powers2[i - 1] * M2; }
     int wide = window - k + 1, starts = n - window + 1, head = 0, tail = 0, from = 0, least = -1;
     int[] queue = new int[grams + 1];
     ArrayList out = new ArrayList();
@@ -54,22 +57,34 @@ class Scan {
       if (s < 0) continue;
       while (queue[head] < s) head++;
       if (queue[head] != least) {
-        if (least >= 0) out.add(run(h[least], sum, powers, from, s - 1, window));
+        if (least >= 0) out.add(run(h, least, sum, powers, sum2, powers2, from, s - 1, window));
         least = queue[head];
         from = s;
       }
     }
-    out.add(run(h[least], sum, powers, from, starts - 1, window));
+    out.add(run(h, least, sum, powers, sum2, powers2, from, starts - 1, window));
     return (long[][]) out.toArray(new long[0][]);
   }
 
-  static long[] run(long h, long[] sum, long[] powers, int first, int last, int window) {
-    int end = last + window;
-    long c = mix(sum[end] - sum[first] * powers[end - first]) ^ (end - first);
-    return new long[] {h, c, first, last};
+  /** Random values of the bytes, for the second hash. */
+  static final long[] BYTES = new long[256];
+  static { for (int i = 0; i < 256; i++) BYTES[i] = mix((i + 1) * M2); }
+
+  static long[] run(long[] h, int least, long[] sum, long[] powers, long[] sum2, long[] powers2, int first, int last, int window) {
+    int end = last + window, n = end - first;
+    long c = mix(sum[end] - sum[first] * powers[n]) ^ n, e = mix(sum2[end] - sum2[first] * powers2[n]);
+    return new long[] {h[least], c, e, first, last, least};
   }
 }
 
+/** The 128 bits that name the bytes of a run. */
+class Name {
+  final long c, e;
+  Name(long c, long e) { this.c = c; this.e = e; }
+  public boolean equals(Object o) { return o instanceof Name && ((Name) o).c == c && ((Name) o).e == e; }
+  public int hashCode() { return (int) (c ^ (c >>> 32)); }
+}
+
 /** Suffix sorting by grouping: suffixes are grouped by their Lyndon prefix, groups from the greatest down; then each is put in its place. */
 class Lyndon {
   /** t: symbols from 0 to sigma - 1; the last is the least and occurs once. */
@@ -190,31 +205,36 @@ public class Hashes implements UDF3 {
   }
 }
 
-/** (text, window, k, hashes) -> the distinct runs of these anchors: h, c. */
+/** (text, window, k, hashes) -> the distinct runs of these anchors: h, c, e. */
 public class Runs implements UDF4 {
   public Object call(Object text, Object window, Object k, Object hashes) {
     HashSet wanted = Kernel.set(hashes), seen = new HashSet();
     long[][] runs = Scan.runs(Kernel.bytes(text), ((Integer) window).intValue(), ((Integer) k).intValue());
     ArrayList out = new ArrayList();
     for (int i = 0; i < runs.length; i++) {
-      Long h = Long.valueOf(runs[i][0]), c = Long.valueOf(runs[i][1]);
-      if (wanted.contains(h) && seen.add(c)) out.add(RowFactory.create(new Object[] {h, c}));
+      Long h = Long.valueOf(runs[i][0]);
+      if (wanted.contains(h) && seen.add(new Name(runs[i][1], runs[i][2]))) out.add(RowFactory.create(new Object[] {h, Long.valueOf(runs[i][1]), Long.valueOf(runs[i][2])}));
     }
     return out;
   }
 }
 
-/** (text, window, k, contents) -> c and the bytes of these runs. */
+/** (text, window, k, rows that start with c and e) -> place in these rows, place of the anchor, and bytes of these runs. */
 public class Pick implements UDF4 {
   public Object call(Object text, Object windowValue, Object k, Object contents) {
     byte[] t = Kernel.bytes(text);
     int window = ((Integer) windowValue).intValue();
-    HashSet wanted = Kernel.set(contents);
+    scala.collection.Seq all = (scala.collection.Seq) contents;
+    HashMap wanted = new HashMap();
+    for (int i = 0; i < all.length(); i++) {
+      Row r = (Row) all.apply(i);
+      wanted.put(new Name(r.getLong(0), r.getLong(1)), Integer.valueOf(i));
+    }
     long[][] runs = Scan.runs(t, window, ((Integer) k).intValue());
     ArrayList out = new ArrayList();
     for (int i = 0; i < runs.length; i++) {
-      Long c = Long.valueOf(runs[i][1]);
-      if (wanted.remove(c)) out.add(RowFactory.create(new Object[] {c, Arrays.copyOfRange(t, (int) runs[i][2], (int) runs[i][3] + window)}));
+      Object at = wanted.remove(new Name(runs[i][1], runs[i][2]));
+      if (at != null) out.add(RowFactory.create(new Object[] {at, Integer.valueOf((int) (runs[i][5] - runs[i][3])), Arrays.copyOfRange(t, (int) runs[i][3], (int) runs[i][4] + window)}));
     }
     return out;
   }
@@ -233,16 +253,18 @@ public class Order implements UDF1 {
   }
 }
 
-/** (contexts: id, first document, bytes; window) -> id, first and last start of windows that a smaller document has. */
+/** (contexts: c, e, first and last document, bytes; window) -> c, e, first and last start of windows, and their least document, where the context has a later one. */
 public class Earlier implements UDF2 {
   public Object call(Object contexts, Object windowValue) {
     scala.collection.Seq all = (scala.collection.Seq) contexts;
     int window = ((Integer) windowValue).intValue(), m = all.length(), n = 1;
     byte[][] parts = new byte[m][];
-    long[] id = new long[m], document = new long[m];
+    Name[] id = new Name[m];
+    long[] first = new long[m], last = new long[m];
     for (int i = 0; i < m; i++) {
       Row r = (Row) all.apply(i);
-      id[i] = r.getLong(0); document[i] = r.getLong(1); parts[i] = (byte[]) r.get(2);
+      id[i] = new Name(r.getLong(0), r.getLong(1));
+      first[i] = r.getLong(2); last[i] = r.getLong(3); parts[i] = (byte[]) r.get(4);
       n += parts[i].length + 1;
     }
     // 0 ends everything, 1 ends a context; a match never counts beyond the end of its context
@@ -254,23 +276,23 @@ public class Earlier implements UDF2 {
     }
     owner[at] = -1;
     int[] sa = Lyndon.sort(t, 258), lcp = Lyndon.common(t, sa);
-    boolean[] earlier = new boolean[n];
+    long[] low = new long[n];
     int a = 0;
     while (a < n) {
       int b = a + 1;
       while (b < n && lcp[b] >= window) b++;
       long least = Long.MAX_VALUE;
-      for (int i = a; i < b; i++) if (whole(sa[i], owner, offset, parts, window) && document[owner[sa[i]]] < least) least = document[owner[sa[i]]];
-      for (int i = a; i < b; i++) if (whole(sa[i], owner, offset, parts, window) && document[owner[sa[i]]] > least) earlier[sa[i]] = true;
+      for (int i = a; i < b; i++) if (whole(sa[i], owner, offset, parts, window) && first[owner[sa[i]]] < least) least = first[owner[sa[i]]];
+      for (int i = a; i < b; i++) low[sa[i]] = least;
       a = b;
     }
     ArrayList out = new ArrayList();
     int i = 0;
     while (i < n) {
-      if (!earlier[i]) { i++; continue; }
+      if (!whole(i, owner, offset, parts, window) || last[owner[i]] <= low[i]) { i++; continue; }
       int j = i;
-      while (j + 1 < n && earlier[j + 1] && owner[j + 1] == owner[i]) j++;
-      out.add(RowFactory.create(new Object[] {Long.valueOf(id[owner[i]]), Integer.valueOf(offset[i]), Integer.valueOf(offset[j])}));
+      while (whole(j + 1, owner, offset, parts, window) && owner[j + 1] == owner[i] && low[j + 1] == low[i]) j++;
+      out.add(RowFactory.create(new Object[] {Long.valueOf(id[owner[i]].c), Long.valueOf(id[owner[i]].e), Integer.valueOf(offset[i]), Integer.valueOf(offset[j]), Long.valueOf(low[i])}));
       i = j + 1;
     }
     return out;
@@ -281,7 +303,7 @@ public class Earlier implements UDF2 {
   }
 }
 
-/** (text, c with first and last start inside its run or nulls for all of it, window, k) -> bytes, removed bytes, spans as start, end, ..., SHA-256 of the rest. */
+/** (text, c, e with first and last start inside their run, window, k) -> bytes, removed bytes, spans as start, end, ..., SHA-256 of the rest. */
 public class Cut implements UDF4 {
   public Object call(Object text, Object ranges, Object windowValue, Object k) throws Exception {
     byte[] t = Kernel.bytes(text);
@@ -292,19 +314,20 @@ public class Cut implements UDF4 {
       scala.collection.Iterator it = ((scala.collection.Seq) ranges).iterator();
       while (it.hasNext()) {
         Row r = (Row) it.next();
-        ArrayList own = (ArrayList) told.get(r.get(0));
-        if (own == null) { own = new ArrayList(); told.put(r.get(0), own); }
+        Name name = new Name(r.getLong(0), r.getLong(1));
+        ArrayList own = (ArrayList) told.get(name);
+        if (own == null) { own = new ArrayList(); told.put(name, own); }
         own.add(r);
       }
       long[][] runs = Scan.runs(t, window, ((Integer) k).intValue());
       for (int i = 0; i < runs.length; i++) {
-        ArrayList own = (ArrayList) told.get(Long.valueOf(runs[i][1]));
+        ArrayList own = (ArrayList) told.get(new Name(runs[i][1], runs[i][2]));
         if (own == null) continue;
-        int first = (int) runs[i][2], last = (int) runs[i][3];
+        int first = (int) runs[i][3];
         for (int j = 0; j < own.size(); j++) {
           Row r = (Row) own.get(j);
-          edge[r.isNullAt(1) ? first : first + r.getInt(1)]++;
-          edge[(r.isNullAt(2) ? last : first + r.getInt(2)) + window]--;
+          edge[first + r.getInt(2)]++;
+          edge[first + r.getInt(3) + window]--;
         }
       }
     }

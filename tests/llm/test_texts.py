@@ -74,7 +74,7 @@ def test_decontamination(spark, odd, empty, corpus):
 # suffix sorting
 def brute_cut(docs, window=50):
     first = {}
-    for d, t in sorted(docs, key=lambda x: (x[0] is None, x[0])):
+    for d, t in sorted(docs, key=lambda x: (x[0] is None, x[0] or 0)):
         for i in range(len(t) - window + 1):
             first.setdefault(t[i : i + window], d)
     out = []
@@ -97,22 +97,40 @@ def test_suffix_order(spark):
         assert r.o == sorted(range(len(texts[r.i])), key=lambda k, t=texts[r.i]: t[k:])
 
 
-@pytest.mark.parametrize("most", [10_000, 2])
-def test_substring_removal(spark, odd, empty, monkeypatch, most):
-    monkeypatch.setattr(suffix_dedup, "MOST_CONTEXTS", most)
+@pytest.mark.parametrize("group", [1 << 20, 60, 400])
+def test_substring_removal(spark, odd, empty, monkeypatch, group):
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", group)
     monkeypatch.setattr(suffix_dedup, "SORTED_BYTES", 4096)
     rng = random.Random(7)
     passages = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(40, 130))) for _ in range(20)]
     docs = [(i, "".join(rng.choice(passages) if rng.random() < 0.4 else "".join(rng.choice("xyzé ") for _ in range(rng.randint(1, 60))) for _ in range(rng.randint(0, 12)))) for i in range(120)]
+    phrase = "one very common phrase of words"
+    docs += [(200 + i, "".join(rng.choice("klm") for _ in range(rng.randint(15, 45))) + phrase + "".join(rng.choice("nop") for _ in range(rng.choice([3, 20, 45])))) for i in range(60)]
+    docs += [(300, "ab" * 200), (301, "ab" * 90), (302, "a" * 120)]
     df = spark.createDataFrame(docs, "doc_id long, text string").unionByName(odd.where("doc_id is not null").withColumn("doc_id", F.col("doc_id") + 1000).select("doc_id", "text", "d", "t", "c"), allowMissingColumns=True)
     got = suffix_dedup.dedup_substrings(df).collect()
     want = brute_cut([(r.doc_id, (r.text or "").encode()) for r in df.collect()])
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == want
-    if most > 2:
+    if group == 400:
         assert suffix_dedup.dedup_substrings(empty).count() == 0
         assert suffix_dedup.dedup_substrings(odd).count() == odd.count()
 
 
+def test_substring_removal_of_repeated_rows_and_null_ids(spark):
+    rng = random.Random(8)
+    make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared, often = make(90), make(300)
+    docs = [(1, make(50) + shared), (2, often), (3, shared + often[:120])] + [(None, make(20) + shared + make(30) + often[100 + i :]) for i in range(40)] + [(None, make(150)) for _ in range(40)]
+    once = spark.createDataFrame(docs, "doc_id long, text string")
+    df = once.unionByName(spark.range(10_000).select(F.lit(2).cast("long").alias("doc_id"), F.lit(often).alias("text")))
+    df = df.unionByName(spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(shared + often).alias("text")))
+    want = Counter(brute_cut([*((d, t.encode()) for d, t in docs), (2, often.encode()), (None, (shared + often).encode())]))
+    want[next(k for k in want if k[0] == 2)] += 9_999
+    want[next(k for k in want if k[0] is None and k[1] == 390 and k[2] == 390)] += 2_999
+    got = suffix_dedup.dedup_substrings(df).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
+
+
 # language
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(1)
