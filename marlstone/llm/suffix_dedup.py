@@ -2,8 +2,8 @@
 
 Every window of `window` bytes belongs to the least of its hashed k-grams, its anchor; equal windows have equal
 anchors. So the corpus is cut into runs of windows around an anchor, and only runs whose anchor occurs in two
-documents or more go on. Runs of equal bytes are one context, with the first and the last document that has it.
-The contexts of an anchor are laid end to end and suffix-sorted by linear grouping: suffixes are grouped by their
+documents or more go on. Runs of equal bytes are one context, with the first and the last document that has it;
+neighbouring runs that no other run can equal in part are one context together. The contexts of an anchor are laid end to end and suffix-sorted by linear grouping: suffixes are grouped by their
 Lyndon prefix, the groups are processed from the greatest down along previous-smaller pointers, and each suffix then
 takes the next place of its group, with no recursive renaming. Neighbours with a common prefix of a whole window are
 occurrences of one string, and the least document among them is its first: every removal follows from this order.
@@ -15,7 +15,7 @@ the anchor's part, until no group is larger than a sort may be.
 from __future__ import annotations
 
 import pyspark.sql.types as T
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import drop_stored, stored
@@ -24,6 +24,8 @@ from .suffix_kernel import PACKAGE, SOURCE
 
 #: Bytes of a window and of a k-gram; bytes that are suffix-sorted together, about; bytes of contexts of one anchor that aren't split.
 WINDOW, GRAM, SORTED_BYTES, GROUP_BYTES = 50, 16, 1 << 20, 1 << 20
+#: The runs of an anchor of more documents than this are aggregated before they are shuffled, and each is a context of its own.
+FREQUENT = 1000
 
 _LONG, _INT = T.LongType(), T.IntegerType()
 
@@ -32,19 +34,20 @@ def _rows(*fields: tuple[str, T.DataType]) -> T.ArrayType:
     return T.ArrayType(T.StructType([T.StructField(*f) for f in fields]))
 
 
-_TOLD = _rows(("c", _LONG), ("e", _LONG), ("a", _INT), ("b", _INT), ("low", _LONG))
-_RUNS = _rows(("h", _LONG), ("c", _LONG), ("e", _LONG))
-_BYTES = _rows(("i", _INT), ("at", _INT), ("bytes", T.BinaryType()))
+_PIECE = (("h", _LONG), ("c", _LONG), ("first", _LONG), ("last", _LONG), ("a", _INT), ("b", _INT))
+_TOLD = _rows(("h", _LONG), ("c", _LONG), ("a", _INT), ("b", _INT), ("low", _LONG))
+_RUNS = _rows(("h", _LONG), ("c", _LONG), ("frequent", T.BooleanType()))
+_CONTEXTS = _rows(("h", _LONG), ("c", _LONG), ("at", _INT), ("bytes", T.BinaryType()), ("pieces", _rows(*_PIECE)))
 _CUT = T.StructType([T.StructField("n_bytes", _LONG), T.StructField("n_removed", _LONG), T.StructField("spans", T.ArrayType(_INT)), T.StructField("kept_sha256", T.StringType())])
 
 
 def install(spark: SparkSession) -> None:
     """Registers the kernel's functions with this session."""
-    register(spark, SOURCE, PACKAGE, {"marlstone_hashes": ("Hashes", T.ArrayType(_LONG)), "marlstone_runs": ("Runs", _RUNS), "marlstone_pick": ("Pick", _BYTES), "marlstone_earlier": ("Earlier", _TOLD), "marlstone_cut": ("Cut", _CUT), "marlstone_suffix_order": ("Order", T.ArrayType(_INT))})
+    register(spark, SOURCE, PACKAGE, {"marlstone_hashes": ("Hashes", T.ArrayType(_LONG)), "marlstone_runs": ("Runs", _RUNS), "marlstone_pick": ("Pick", _CONTEXTS), "marlstone_earlier": ("Earlier", _TOLD), "marlstone_cut": ("Cut", _CUT), "marlstone_suffix_order": ("Order", T.ArrayType(_INT))})
 
 
 def _halves(contexts: DataFrame, window: int) -> DataFrame:
-    """c, e, shift and the contexts that the two halves of each context's windows are: h, at, g, c2, e2, first, last, bytes.
+    """h, c, shift and the contexts that the two halves of each context's windows are: h2, c2, at, g, first, last, bytes.
 
     All windows of a context have the g bytes at place `at`. Those that start close before it share what follows
     too, and the others what stands before.
@@ -55,31 +58,31 @@ def _halves(contexts: DataFrame, window: int) -> DataFrame:
     part = lambda valid, shift, size, at, g: F.when(valid, F.struct(shift.alias("shift"), F.substring("bytes", shift + 1, size).alias("bytes"), at.alias("at"), g.alias("g")))
     near = part(ends >= low, low, F.length("bytes") - low, F.col("at") - low, window - half)
     far = part(high >= 0, F.lit(0), high + window, F.col("at") - half - 1, F.col("g") + half + 1)
-    parts = contexts.select("c", "e", "first", "last", F.posexplode(F.array(near, far)).alias("side", "p")).where("p is not null")
-    parts = parts.select("c", "e", "first", "last", "side", "p.*")
-    named = parts.withColumn("h", F.xxhash64(F.substring("bytes", F.col("at") + 1, F.col("g")), "side")).withColumn("m", F.md5("bytes"))
-    bits = lambda k: F.conv(F.substring("m", k, 15), 16, 10).cast("long")
-    return named.select("c", "e", "shift", "h", "at", "g", bits(1).bitwiseXOR(F.col("h")).alias("c2"), bits(16).alias("e2"), "first", "last", "bytes")
+    parts = contexts.select("h", "c", F.col("pieces")[0].alias("own"), F.posexplode(F.array(near, far)).alias("side", "p")).where("p is not null")
+    parts = parts.select("h", "c", "own.first", "own.last", "side", "p.*")
+    shared = F.xxhash64(F.substring("bytes", F.col("at") + 1, F.col("g")), "side")
+    return parts.select("h", "c", "shift", shared.alias("h2"), F.conv(F.substring(F.md5("bytes"), 1, 15), 16, 10).cast("long").alias("c2"), "at", "g", "first", "last", "bytes")
 
 
 def _told(contexts: DataFrame, window: int) -> DataFrame:
-    """contexts: h, c, e, first, last, at, g, bytes. c, e, a, b, low: the windows of a context that a document before its last one has, and the least such document."""
-    sizes = contexts.groupBy("h").agg(F.sum(F.length("bytes") + 1).alias("size"))
+    """contexts: h, c, at, g, bytes, pieces. h, c, a, b, low: the windows of a piece that a document before its last one has, and the least such document."""
+    sizes = contexts.where("at >= 0").groupBy("h").agg(F.sum(F.length("bytes") + 1).alias("size"))
     hot = stored(sizes.where(F.col("size") > GROUP_BYTES).select("h"), "hot")
     few, split = contexts, hot.limit(1).count() > 0
     if split:
         few = contexts.join(hot, "h", "left_anti")
     total = few.agg(F.sum(F.length("bytes") + 1)).first()[0] or 0
     bucket = F.pmod("h", F.lit(max(1, -(-total // SORTED_BYTES))))
-    laid = few.groupBy(bucket.alias("bucket")).agg(F.collect_list(F.struct("c", "e", "first", "last", "bytes")).alias("all"))
+    laid = few.groupBy(bucket.alias("bucket")).agg(F.collect_list(F.struct("bytes", "pieces")).alias("all"))
     told = stored(laid.select(F.explode(F.call_function("marlstone_earlier", "all", F.lit(window))).alias("r")).select("r.*"), "told")
     if split:
-        halves = stored(_halves(contexts.join(hot, "h"), window), "halves")
-        own = halves.groupBy(F.col("c2").alias("c"), F.col("e2").alias("e")).agg(F.min("first").alias("first"), F.max("last").alias("last"), F.first(F.struct("h", "at", "g", "bytes")).alias("x"))
-        inner = stored(own.select("x.h", "c", "e", "first", "last", "x.at", "x.g", "x.bytes"), "contexts")
-        deeper = _told(inner, window).withColumnsRenamed({"c": "c2", "e": "e2"})
-        shift = halves.select("c", "e", "c2", "e2", "shift").join(deeper, ["c2", "e2"])
-        found = stored(shift.select("c", "e", (F.col("a") + F.col("shift")).alias("a"), (F.col("b") + F.col("shift")).alias("b"), "low"), "told")
+        halves = stored(_halves(contexts.where("at >= 0").join(hot, "h"), window), "halves")
+        own = halves.groupBy(F.col("h2").alias("h"), F.col("c2").alias("c")).agg(F.min("first").alias("first"), F.max("last").alias("last"), F.first(F.struct("at", "g", "bytes")).alias("x"))
+        piece = F.struct("h", "c", "first", "last", F.lit(0).alias("a"), (F.length("x.bytes") - window).alias("b"))
+        inner = stored(own.select("h", "c", "x.at", "x.g", "x.bytes", F.array(piece).alias("pieces")), "contexts")
+        deeper = _told(inner, window).withColumnsRenamed({"h": "h2", "c": "c2"})
+        shift = halves.select("h", "c", "h2", "c2", "shift").join(deeper, ["h2", "c2"])
+        found = stored(shift.select("h", "c", (F.col("a") + F.col("shift")).alias("a"), (F.col("b") + F.col("shift")).alias("b"), "low"), "told")
         drop_stored(halves, inner)
         told = told.unionByName(found)
     drop_stored(hot)
@@ -87,31 +90,37 @@ def _told(contexts: DataFrame, window: int) -> DataFrame:
 
 
 def earlier_ranges(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """rows: d (long), u (a hash of d and t), t (binary). u and its ranges: c, e, and the first and last start inside the run of these bytes that a smaller d has."""
+    """rows: d (long), u (a hash of d and t), t (binary). u and its ranges: h, c, and the first and last start inside the run of these bytes that a smaller d has."""
     spark = rows.sparkSession
     install(spark)
     sizes = (F.lit(window), F.lit(gram))
-    hashes = rows.select("d", "u", F.explode(F.call_function("marlstone_hashes", "t", *sizes)).alias("h"))
-    shared = stored(hashes.groupBy("h").agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low < high").select("h"), "anchors")
+    hashes = rows.select("u", F.explode(F.call_function("marlstone_hashes", "t", *sizes)).alias("h"))
+    shared = stored(hashes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", (F.col("n") > FREQUENT).alias("frequent")), "anchors")
     # lists and ranges of a row have nothing twice, however often the row is repeated
-    wanted = stored(hashes.join(shared, "h").groupBy("u").agg(F.collect_set("h").alias("hs")), "wanted")
+    wanted = hashes.join(shared, "h").groupBy("u").agg(F.collect_set(F.when(~F.col("frequent"), F.col("h"))).alias("hs"), F.collect_set(F.when(F.col("frequent"), F.col("h"))).alias("often"))
+    wanted = stored(wanted, "wanted")
     drop_stored(shared)
 
-    # c and e, 128 bits, stand for the bytes of a run, which fix its anchor h too
-    runs = rows.join(wanted, "u").select("d", "u", F.explode(F.call_function("marlstone_runs", "t", *sizes, "hs")).alias("r")).select("d", "u", "r.*")
+    # h and c, 128 bits, stand for the bytes of a run
+    runs = rows.join(wanted, "u").select("d", "u", F.explode(F.call_function("marlstone_runs", "t", *sizes, "hs", "often")).alias("r")).select("d", "u", "r.*")
     runs = stored(runs, "runs")
     drop_stored(wanted)
-    firsts = runs.groupBy("c", "e").agg(F.min("h").alias("h"), F.min("d").alias("first"), F.max("d").alias("last"), F.min("u").alias("u"))
-    own = stored(firsts.groupBy("u").agg(F.collect_list(F.struct("c", "e", "h", "first", "last")).alias("cs")), "own")
-    picked = rows.join(own, "u").select("cs", F.explode(F.call_function("marlstone_pick", "t", *sizes, "cs")).alias("p"))
-    picked = picked.select(F.element_at("cs", F.col("p.i") + 1).alias("x"), "p.at", "p.bytes").select("x.*", "at", "bytes")
-    contexts = picked.groupBy("c", "e").agg(F.first(F.struct("h", "first", "last", "at", "bytes")).alias("x")).select("c", "e", "x.*")
+    told = [F.min("d").alias("first"), F.max("d").alias("last"), F.min("u").alias("u")]
+    # the anchors that aren't frequent have few rows, so all contents of one can meet
+    anchor = Window.partitionBy("h")
+    few = runs.where("not frequent").repartition("h").groupBy("h", "c").agg(*told)
+    few = few.select("*", F.count(F.lit(1)).over(anchor).alias("m"), F.min("first").over(anchor).alias("low"), F.max("last").over(anchor).alias("high")).where("low < high")
+    firsts = few.select("h", "c", "first", "last", "u", (F.col("m") == 1).alias("single"))
+    firsts = firsts.unionByName(runs.where("frequent").groupBy("h", "c").agg(*told).withColumn("single", F.lit(False)))
+    own = stored(firsts.groupBy("u").agg(F.collect_list(F.struct("h", "c", "first", "last", "single")).alias("cs")), "own")
+    picked = rows.join(own, "u").select(F.explode(F.call_function("marlstone_pick", "t", *sizes, "cs")).alias("p")).select("p.*")
+    contexts = picked.groupBy("h", "c").agg(F.first(F.struct("at", "bytes", "pieces")).alias("x")).select("h", "c", "x.*")
     contexts = stored(contexts.withColumn("g", F.lit(gram)), "contexts")
     drop_stored(own)
 
     told = _told(contexts, window)
     drop_stored(contexts)
-    found = runs.join(told, ["c", "e"]).where("low < d").groupBy("u").agg(F.collect_set(F.struct("c", "e", "a", "b")).alias("ranges"))
+    found = runs.select("d", "u", "h", "c").join(told, ["h", "c"]).where("low < d").groupBy("u").agg(F.collect_set(F.struct("h", "c", "a", "b")).alias("ranges"))
     ranges = stored(found, "ranges")
     drop_stored(runs, told)
     return ranges

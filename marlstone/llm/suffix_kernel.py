@@ -16,10 +16,11 @@ import org.apache.spark.sql.api.java.UDF1;
 import org.apache.spark.sql.api.java.UDF2;
 import org.apache.spark.sql.api.java.UDF3;
 import org.apache.spark.sql.api.java.UDF4;
+import org.apache.spark.sql.api.java.UDF5;
 
-/** Runs of windows that share their least k-gram: {hash of the k-gram, two hashes of the run's bytes, first start, last start, start of the k-gram}. */
+/** Runs of windows that share their least k-gram: {hash of the k-gram, hash of the run's bytes, first start, last start, start of the k-gram}. */
 class Scan {
-  static final long M = 0x9E3779B97F4A7C15L, M2 = 0xD1B54A32D192ED03L;
+  static final long M = 0x9E3779B97F4A7C15L;
 
   static long mix(long x) {
     x = (x ^ (x >>> 30)) * 0xBF58476D1CE4E5B9L;
@@ -39,14 +40,11 @@ class Scan {
       x = (x - ((t[i - 1] & 255) + 1) * power) * M + (t[i + k - 1] & 255) + 1;
       h[i] = mix(x);
     }
-    long[] sum = new long[n + 1], sum2 = new long[n + 1];
-    for (int i = 0; i < n; i++) {
-      sum[i + 1] = sum[i] * M + (t[i] & 255) + 1;
-      sum2[i + 1] = sum2[i] * M2 + BYTES[t[i] & 255];
-    }
-    long[] powers = new long[2 * window + 1], powers2 = new long[2 * window + 1];
-    powers[0] = powers2[0] = 1;
-    for (int i = 1; i < powers.length; i++) { powers[i] = powers[i - 1] * M; powers2[i] = powers2[i - 1] * M2; }
+    long[] sum = new long[n + 1];
+    for (int i = 0; i < n; i++) sum[i + 1] = sum[i] * M2 + BYTES[t[i] & 255];
+    long[] powers = new long[2 * window + 1];
+    powers[0] = 1;
+    for (int i = 1; i < powers.length; i++) powers[i] = powers[i - 1] * M2;
     int wide = window - k + 1, starts = n - window + 1, head = 0, tail = 0, from = 0, least = -1;
     int[] queue = new int[grams + 1];
     ArrayList out = new ArrayList();
@@ -57,31 +55,31 @@ class Scan {
       if (s < 0) continue;
       while (queue[head] < s) head++;
       if (queue[head] != least) {
-        if (least >= 0) out.add(run(h, least, sum, powers, sum2, powers2, from, s - 1, window));
+        if (least >= 0) out.add(run(h, least, sum, powers, from, s - 1, window));
         least = queue[head];
         from = s;
       }
     }
-    out.add(run(h, least, sum, powers, sum2, powers2, from, starts - 1, window));
+    out.add(run(h, least, sum, powers, from, starts - 1, window));
     return (long[][]) out.toArray(new long[0][]);
   }
 
-  /** Random values of the bytes, for the second hash. */
+  /** Another multiplier and random values of the bytes, so that the run's hash tells nothing that the k-gram's tells. */
+  static final long M2 = 0xD1B54A32D192ED03L;
   static final long[] BYTES = new long[256];
   static { for (int i = 0; i < 256; i++) BYTES[i] = mix((i + 1) * M2); }
 
-  static long[] run(long[] h, int least, long[] sum, long[] powers, long[] sum2, long[] powers2, int first, int last, int window) {
+  static long[] run(long[] h, int least, long[] sum, long[] powers, int first, int last, int window) {
     int end = last + window, n = end - first;
-    long c = mix(sum[end] - sum[first] * powers[n]) ^ n, e = mix(sum2[end] - sum2[first] * powers2[n]);
-    return new long[] {h[least], c, e, first, last, least};
+    return new long[] {h[least], mix(sum[end] - sum[first] * powers[n]) ^ n, first, last, least};
   }
 }
 
-/** The 128 bits that name the bytes of a run. */
+/** The 128 bits that name the bytes of a run: hashes of its anchor and of all of it. */
 class Name {
-  final long c, e;
-  Name(long c, long e) { this.c = c; this.e = e; }
-  public boolean equals(Object o) { return o instanceof Name && ((Name) o).c == c && ((Name) o).e == e; }
+  final long h, c;
+  Name(long h, long c) { this.h = h; this.c = c; }
+  public boolean equals(Object o) { return o instanceof Name && ((Name) o).h == h && ((Name) o).c == c; }
   public int hashCode() { return (int) (c ^ (c >>> 32)); }
 }
 
@@ -205,36 +203,50 @@ public class Hashes implements UDF3 {
   }
 }
 
-/** (text, window, k, hashes) -> the distinct runs of these anchors: h, c, e. */
-public class Runs implements UDF4 {
-  public Object call(Object text, Object window, Object k, Object hashes) {
-    HashSet wanted = Kernel.set(hashes), seen = new HashSet();
+/** (text, window, k, hashes, hashes of frequent anchors) -> the distinct runs of these anchors: h, c, frequent. */
+public class Runs implements UDF5 {
+  public Object call(Object text, Object window, Object k, Object hashes, Object frequent) {
+    HashSet wanted = Kernel.set(hashes), often = Kernel.set(frequent), seen = new HashSet();
     long[][] runs = Scan.runs(Kernel.bytes(text), ((Integer) window).intValue(), ((Integer) k).intValue());
     ArrayList out = new ArrayList();
     for (int i = 0; i < runs.length; i++) {
       Long h = Long.valueOf(runs[i][0]);
-      if (wanted.contains(h) && seen.add(new Name(runs[i][1], runs[i][2]))) out.add(RowFactory.create(new Object[] {h, Long.valueOf(runs[i][1]), Long.valueOf(runs[i][2])}));
+      boolean hot = often.contains(h);
+      if ((hot || wanted.contains(h)) && seen.add(new Name(runs[i][0], runs[i][1]))) out.add(RowFactory.create(new Object[] {h, Long.valueOf(runs[i][1]), Boolean.valueOf(hot)}));
     }
     return out;
   }
 }
 
-/** (text, window, k, rows that start with c and e) -> place in these rows, place of the anchor, and bytes of these runs. */
+/** (text, window, k, rows of h, c, first and last document, single) -> contexts of these runs: h, c, place of the anchor, bytes, pieces.
+
+ Runs whose anchor has one content only (single) are compared with nothing, so neighbours are one context of up to MOST bytes, with a piece each. */
 public class Pick implements UDF4 {
+  static final int MOST = 1 << 16;
+
   public Object call(Object text, Object windowValue, Object k, Object contents) {
     byte[] t = Kernel.bytes(text);
     int window = ((Integer) windowValue).intValue();
-    scala.collection.Seq all = (scala.collection.Seq) contents;
     HashMap wanted = new HashMap();
-    for (int i = 0; i < all.length(); i++) {
-      Row r = (Row) all.apply(i);
-      wanted.put(new Name(r.getLong(0), r.getLong(1)), Integer.valueOf(i));
+    scala.collection.Iterator it = ((scala.collection.Seq) contents).iterator();
+    while (it.hasNext()) {
+      Row r = (Row) it.next();
+      wanted.put(new Name(r.getLong(0), r.getLong(1)), r);
     }
     long[][] runs = Scan.runs(t, window, ((Integer) k).intValue());
+    Row[] own = new Row[runs.length];
+    for (int i = 0; i < runs.length; i++) own[i] = (Row) wanted.remove(new Name(runs[i][0], runs[i][1]));
     ArrayList out = new ArrayList();
-    for (int i = 0; i < runs.length; i++) {
-      Object at = wanted.remove(new Name(runs[i][1], runs[i][2]));
-      if (at != null) out.add(RowFactory.create(new Object[] {at, Integer.valueOf((int) (runs[i][5] - runs[i][3])), Arrays.copyOfRange(t, (int) runs[i][3], (int) runs[i][4] + window)}));
+    int i = 0;
+    while (i < runs.length) {
+      if (own[i] == null) { i++; continue; }
+      boolean single = own[i].getBoolean(4);
+      int j = i + 1, from = (int) runs[i][2];
+      if (single) while (j < runs.length && own[j] != null && own[j].getBoolean(4) && runs[j][3] - from < MOST) j++;
+      ArrayList pieces = new ArrayList();
+      for (int m = i; m < j; m++) pieces.add(RowFactory.create(new Object[] {own[m].get(0), own[m].get(1), own[m].get(2), own[m].get(3), Integer.valueOf((int) runs[m][2] - from), Integer.valueOf((int) runs[m][3] - from)}));
+      out.add(RowFactory.create(new Object[] {own[i].get(0), own[i].get(1), Integer.valueOf(single ? -1 : (int) runs[i][4] - from), Arrays.copyOfRange(t, from, (int) runs[j - 1][3] + window), pieces}));
+      i = j;
     }
     return out;
   }
@@ -253,28 +265,38 @@ public class Order implements UDF1 {
   }
 }
 
-/** (contexts: c, e, first and last document, bytes; window) -> c, e, first and last start of windows, and their least document, where the context has a later one. */
+/** (contexts: bytes, pieces of h, c, first and last document, first and last start; window) -> h, c, first and last start inside a piece, and the least document of these windows, where the piece has a later one. */
 public class Earlier implements UDF2 {
   public Object call(Object contexts, Object windowValue) {
     scala.collection.Seq all = (scala.collection.Seq) contexts;
-    int window = ((Integer) windowValue).intValue(), m = all.length(), n = 1;
+    int window = ((Integer) windowValue).intValue(), m = all.length(), n = 1, p = 0;
     byte[][] parts = new byte[m][];
-    Name[] id = new Name[m];
-    long[] first = new long[m], last = new long[m];
     for (int i = 0; i < m; i++) {
       Row r = (Row) all.apply(i);
-      id[i] = new Name(r.getLong(0), r.getLong(1));
-      first[i] = r.getLong(2); last[i] = r.getLong(3); parts[i] = (byte[]) r.get(4);
+      parts[i] = (byte[]) r.get(0);
       n += parts[i].length + 1;
+      p += ((scala.collection.Seq) r.get(1)).length();
+    }
+    long[] h = new long[p], c = new long[p], first = new long[p], last = new long[p];
+    int[] begin = new int[p], piece = new int[n];
+    Arrays.fill(piece, -1);
+    for (int i = 0, k = 0, from = 0; i < m; i++) {
+      scala.collection.Iterator it = ((scala.collection.Seq) ((Row) all.apply(i)).get(1)).iterator();
+      for (; it.hasNext(); k++) {
+        Row r = (Row) it.next();
+        h[k] = r.getLong(0); c[k] = r.getLong(1); first[k] = r.getLong(2); last[k] = r.getLong(3);
+        begin[k] = from + r.getInt(4);
+        Arrays.fill(piece, begin[k], from + r.getInt(5) + 1, k);
+      }
+      from += parts[i].length + 1;
     }
     // 0 ends everything, 1 ends a context; a match never counts beyond the end of its context
-    int[] t = new int[n], owner = new int[n], offset = new int[n];
+    int[] t = new int[n];
     int at = 0;
     for (int i = 0; i < m; i++) {
-      for (int j = 0; j < parts[i].length; j++) { t[at] = (parts[i][j] & 255) + 2; owner[at] = i; offset[at++] = j; }
-      t[at] = 1; owner[at] = i; offset[at++] = parts[i].length;
+      for (int j = 0; j < parts[i].length; j++) t[at++] = (parts[i][j] & 255) + 2;
+      t[at++] = 1;
     }
-    owner[at] = -1;
     int[] sa = Lyndon.sort(t, 258), lcp = Lyndon.common(t, sa);
     long[] low = new long[n];
     int a = 0;
@@ -282,28 +304,25 @@ public class Earlier implements UDF2 {
       int b = a + 1;
       while (b < n && lcp[b] >= window) b++;
       long least = Long.MAX_VALUE;
-      for (int i = a; i < b; i++) if (whole(sa[i], owner, offset, parts, window) && first[owner[sa[i]]] < least) least = first[owner[sa[i]]];
+      for (int i = a; i < b; i++) if (piece[sa[i]] >= 0 && first[piece[sa[i]]] < least) least = first[piece[sa[i]]];
       for (int i = a; i < b; i++) low[sa[i]] = least;
       a = b;
     }
     ArrayList out = new ArrayList();
     int i = 0;
     while (i < n) {
-      if (!whole(i, owner, offset, parts, window) || last[owner[i]] <= low[i]) { i++; continue; }
+      int k = piece[i];
+      if (k < 0 || last[k] <= low[i]) { i++; continue; }
       int j = i;
-      while (whole(j + 1, owner, offset, parts, window) && owner[j + 1] == owner[i] && low[j + 1] == low[i]) j++;
-      out.add(RowFactory.create(new Object[] {Long.valueOf(id[owner[i]].c), Long.valueOf(id[owner[i]].e), Integer.valueOf(offset[i]), Integer.valueOf(offset[j]), Long.valueOf(low[i])}));
+      while (piece[j + 1] == k && low[j + 1] == low[i]) j++;
+      out.add(RowFactory.create(new Object[] {Long.valueOf(h[k]), Long.valueOf(c[k]), Integer.valueOf(i - begin[k]), Integer.valueOf(j - begin[k]), Long.valueOf(low[i])}));
       i = j + 1;
     }
     return out;
   }
-
-  static boolean whole(int s, int[] owner, int[] offset, byte[][] parts, int window) {
-    return owner[s] >= 0 && offset[s] + window <= parts[owner[s]].length;
-  }
 }
 
-/** (text, c, e with first and last start inside their run, window, k) -> bytes, removed bytes, spans as start, end, ..., SHA-256 of the rest. */
+/** (text, h, c with first and last start inside their run, window, k) -> bytes, removed bytes, spans as start, end, ..., SHA-256 of the rest. */
 public class Cut implements UDF4 {
   public Object call(Object text, Object ranges, Object windowValue, Object k) throws Exception {
     byte[] t = Kernel.bytes(text);
@@ -321,9 +340,9 @@ public class Cut implements UDF4 {
       }
       long[][] runs = Scan.runs(t, window, ((Integer) k).intValue());
       for (int i = 0; i < runs.length; i++) {
-        ArrayList own = (ArrayList) told.get(new Name(runs[i][1], runs[i][2]));
+        ArrayList own = (ArrayList) told.get(new Name(runs[i][0], runs[i][1]));
         if (own == null) continue;
-        int first = (int) runs[i][3];
+        int first = (int) runs[i][2];
         for (int j = 0; j < own.size(); j++) {
           Row r = (Row) own.get(j);
           edge[first + r.getInt(2)]++;

@@ -101,6 +101,7 @@ def test_suffix_order(spark):
 def test_substring_removal(spark, odd, empty, monkeypatch, group):
     monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", group)
     monkeypatch.setattr(suffix_dedup, "SORTED_BYTES", 4096)
+    monkeypatch.setattr(suffix_dedup, "FREQUENT", group // 20)
     rng = random.Random(7)
     passages = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(40, 130))) for _ in range(20)]
     docs = [(i, "".join(rng.choice(passages) if rng.random() < 0.4 else "".join(rng.choice("xyzé ") for _ in range(rng.randint(1, 60))) for _ in range(rng.randint(0, 12)))) for i in range(120)]
