@@ -37,7 +37,7 @@ def _rows(*fields: tuple[str, T.DataType]) -> T.ArrayType:
 _PIECE = (("h", _LONG), ("c", _LONG), ("first", _LONG), ("last", _LONG), ("a", _INT), ("b", _INT))
 _TOLD = _rows(("h", _LONG), ("c", _LONG), ("a", _INT), ("b", _INT), ("low", _LONG))
 _RUNS = _rows(("h", _LONG), ("c", _LONG), ("frequent", T.BooleanType()))
-_CONTEXTS = _rows(("h", _LONG), ("c", _LONG), ("at", _INT), ("bytes", T.BinaryType()), ("pieces", _rows(*_PIECE)))
+_CONTEXTS = _rows(("h", _LONG), ("c", _LONG), ("first", _LONG), ("last", _LONG), ("at", _INT), ("bytes", T.BinaryType()), ("pieces", _rows(*_PIECE)))
 _CUT = T.StructType([T.StructField("n_bytes", _LONG), T.StructField("n_removed", _LONG), T.StructField("spans", T.ArrayType(_INT)), T.StructField("kept_sha256", T.StringType())])
 
 
@@ -58,14 +58,14 @@ def _halves(contexts: DataFrame, window: int) -> DataFrame:
     part = lambda valid, shift, size, at, g: F.when(valid, F.struct(shift.alias("shift"), F.substring("bytes", shift + 1, size).alias("bytes"), at.alias("at"), g.alias("g")))
     near = part(ends >= low, low, F.length("bytes") - low, F.col("at") - low, window - half)
     far = part(high >= 0, F.lit(0), high + window, F.col("at") - half - 1, F.col("g") + half + 1)
-    parts = contexts.select("h", "c", F.col("pieces")[0].alias("own"), F.posexplode(F.array(near, far)).alias("side", "p")).where("p is not null")
-    parts = parts.select("h", "c", "own.first", "own.last", "side", "p.*")
+    parts = contexts.select("h", "c", "first", "last", F.posexplode(F.array(near, far)).alias("side", "p")).where("p is not null")
+    parts = parts.select("h", "c", "first", "last", "side", "p.*")
     shared = F.xxhash64(F.substring("bytes", F.col("at") + 1, F.col("g")), "side")
     return parts.select("h", "c", "shift", shared.alias("h2"), F.conv(F.substring(F.md5("bytes"), 1, 15), 16, 10).cast("long").alias("c2"), "at", "g", "first", "last", "bytes")
 
 
 def _told(contexts: DataFrame, window: int) -> DataFrame:
-    """contexts: h, c, at, g, bytes, pieces. h, c, a, b, low: the windows of a piece that a document before its last one has, and the least such document."""
+    """contexts: h, c, first, last, at, g, bytes, pieces. h, c, a, b, low: the windows of a piece that a document before its last one has, and the least such document."""
     sizes = contexts.where("at >= 0").groupBy("h").agg(F.sum(F.length("bytes") + 1).alias("size"))
     hot = stored(sizes.where(F.col("size") > GROUP_BYTES).select("h"), "hot")
     few, split = contexts, hot.limit(1).count() > 0
@@ -73,13 +73,12 @@ def _told(contexts: DataFrame, window: int) -> DataFrame:
         few = contexts.join(hot, "h", "left_anti")
     total = few.agg(F.sum(F.length("bytes") + 1)).first()[0] or 0
     bucket = F.pmod("h", F.lit(max(1, -(-total // SORTED_BYTES))))
-    laid = few.groupBy(bucket.alias("bucket")).agg(F.collect_list(F.struct("bytes", "pieces")).alias("all"))
+    laid = few.groupBy(bucket.alias("bucket")).agg(F.collect_list(F.struct("h", "c", "first", "last", "bytes", "pieces")).alias("all"))
     told = stored(laid.select(F.explode(F.call_function("marlstone_earlier", "all", F.lit(window))).alias("r")).select("r.*"), "told")
     if split:
         halves = stored(_halves(contexts.where("at >= 0").join(hot, "h"), window), "halves")
         own = halves.groupBy(F.col("h2").alias("h"), F.col("c2").alias("c")).agg(F.min("first").alias("first"), F.max("last").alias("last"), F.first(F.struct("at", "g", "bytes")).alias("x"))
-        piece = F.struct("h", "c", "first", "last", F.lit(0).alias("a"), (F.length("x.bytes") - window).alias("b"))
-        inner = stored(own.select("h", "c", "x.at", "x.g", "x.bytes", F.array(piece).alias("pieces")), "contexts")
+        inner = stored(own.select("h", "c", "first", "last", "x.at", "x.g", "x.bytes", F.lit(None).cast(_rows(*_PIECE)).alias("pieces")), "contexts")
         deeper = _told(inner, window).withColumnsRenamed({"h": "h2", "c": "c2"})
         shift = halves.select("h", "c", "h2", "c2", "shift").join(deeper, ["h2", "c2"])
         found = stored(shift.select("h", "c", (F.col("a") + F.col("shift")).alias("a"), (F.col("b") + F.col("shift")).alias("b"), "low"), "told")
@@ -112,14 +111,18 @@ def earlier_ranges(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     few = few.select("*", F.count(F.lit(1)).over(anchor).alias("m"), F.min("first").over(anchor).alias("low"), F.max("last").over(anchor).alias("high")).where("low < high")
     firsts = few.select("h", "c", "first", "last", "u", (F.col("m") == 1).alias("single"))
     firsts = firsts.unionByName(runs.where("frequent").groupBy("h", "c").agg(*told).withColumn("single", F.lit(False)))
-    own = stored(firsts.groupBy("u").agg(F.collect_list(F.struct("h", "c", "first", "last", "single")).alias("cs")), "own")
-    picked = rows.join(own, "u").select(F.explode(F.call_function("marlstone_pick", "t", *sizes, "cs")).alias("p")).select("p.*")
-    contexts = picked.groupBy("h", "c").agg(F.first(F.struct("at", "bytes", "pieces")).alias("x")).select("h", "c", "x.*")
-    contexts = stored(contexts.withColumn("g", F.lit(gram)), "contexts")
-    drop_stored(own)
+    own_lists = stored(firsts.groupBy("u").agg(F.collect_list(F.struct("h", "c", "first", "last", "single")).alias("cs")), "own")
+    # contexts of a row that repeats are there as often as the row
+    often = rows.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("u", F.lit(True).alias("repeats"))
+    own = own_lists.join(often, "u", "left").select("u", "cs", F.coalesce("repeats", F.lit(False)).alias("repeats"))
+    picked = rows.select("u", "t").join(own, "u").select("repeats", F.explode(F.call_function("marlstone_pick", "t", *sizes, "cs")).alias("p"))
+    picked = stored(picked.select("repeats", "p.*", F.lit(gram).alias("g")), "contexts")
+    drop_stored(own_lists)
+    again = picked.where("repeats").groupBy("h", "c").agg(F.first(F.struct("first", "last", "at", "bytes", "pieces", "g")).alias("x")).select("h", "c", "x.*")
+    contexts = picked.where("not repeats").drop("repeats").unionByName(again)
 
     told = _told(contexts, window)
-    drop_stored(contexts)
+    drop_stored(picked)
     found = runs.select("d", "u", "h", "c").join(told, ["h", "c"]).where("low < d").groupBy("u").agg(F.collect_set(F.struct("h", "c", "a", "b")).alias("ranges"))
     ranges = stored(found, "ranges")
     drop_stored(runs, told)

@@ -218,9 +218,9 @@ public class Runs implements UDF5 {
   }
 }
 
-/** (text, window, k, rows of h, c, first and last document, single) -> contexts of these runs: h, c, place of the anchor, bytes, pieces.
+/** (text, window, k, rows of h, c, first and last document, single) -> contexts of these runs: h, c, first, last, place of the anchor, bytes, pieces.
 
- Runs whose anchor has one content only (single) are compared with nothing, so neighbours are one context of up to MOST bytes, with a piece each. */
+ Runs whose anchor has one content only (single) are compared with nothing, so neighbours are one context of up to MOST bytes, with a piece each. Other contexts have no pieces: all their windows are of one run. */
 public class Pick implements UDF4 {
   static final int MOST = 1 << 16;
 
@@ -243,9 +243,9 @@ public class Pick implements UDF4 {
       boolean single = own[i].getBoolean(4);
       int j = i + 1, from = (int) runs[i][2];
       if (single) while (j < runs.length && own[j] != null && own[j].getBoolean(4) && runs[j][3] - from < MOST) j++;
-      ArrayList pieces = new ArrayList();
-      for (int m = i; m < j; m++) pieces.add(RowFactory.create(new Object[] {own[m].get(0), own[m].get(1), own[m].get(2), own[m].get(3), Integer.valueOf((int) runs[m][2] - from), Integer.valueOf((int) runs[m][3] - from)}));
-      out.add(RowFactory.create(new Object[] {own[i].get(0), own[i].get(1), Integer.valueOf(single ? -1 : (int) runs[i][4] - from), Arrays.copyOfRange(t, from, (int) runs[j - 1][3] + window), pieces}));
+      ArrayList pieces = single ? new ArrayList() : null;
+      for (int m = i; single && m < j; m++) pieces.add(RowFactory.create(new Object[] {own[m].get(0), own[m].get(1), own[m].get(2), own[m].get(3), Integer.valueOf((int) runs[m][2] - from), Integer.valueOf((int) runs[m][3] - from)}));
+      out.add(RowFactory.create(new Object[] {own[i].get(0), own[i].get(1), own[i].get(2), own[i].get(3), Integer.valueOf(single ? -1 : (int) runs[i][4] - from), Arrays.copyOfRange(t, from, (int) runs[j - 1][3] + window), pieces}));
       i = j;
     }
     return out;
@@ -265,7 +265,7 @@ public class Order implements UDF1 {
   }
 }
 
-/** (contexts: bytes, pieces of h, c, first and last document, first and last start; window) -> h, c, first and last start inside a piece, and the least document of these windows, where the piece has a later one. */
+/** (contexts: h, c, first and last document, bytes, pieces of h, c, first and last document, first and last start; window) -> h, c, first and last start inside a piece, and the least document of these windows, where the piece has a later one. */
 public class Earlier implements UDF2 {
   public Object call(Object contexts, Object windowValue) {
     scala.collection.Seq all = (scala.collection.Seq) contexts;
@@ -273,21 +273,23 @@ public class Earlier implements UDF2 {
     byte[][] parts = new byte[m][];
     for (int i = 0; i < m; i++) {
       Row r = (Row) all.apply(i);
-      parts[i] = (byte[]) r.get(0);
+      parts[i] = (byte[]) r.get(4);
       n += parts[i].length + 1;
-      p += ((scala.collection.Seq) r.get(1)).length();
+      p += r.isNullAt(5) ? 1 : ((scala.collection.Seq) r.get(5)).length();
     }
     long[] h = new long[p], c = new long[p], first = new long[p], last = new long[p];
     int[] begin = new int[p], piece = new int[n];
     Arrays.fill(piece, -1);
     for (int i = 0, k = 0, from = 0; i < m; i++) {
-      scala.collection.Iterator it = ((scala.collection.Seq) ((Row) all.apply(i)).get(1)).iterator();
-      for (; it.hasNext(); k++) {
-        Row r = (Row) it.next();
+      Row own = (Row) all.apply(i);
+      scala.collection.Iterator it = own.isNullAt(5) ? null : ((scala.collection.Seq) own.get(5)).iterator();
+      do {
+        Row r = it == null ? own : (Row) it.next();
         h[k] = r.getLong(0); c[k] = r.getLong(1); first[k] = r.getLong(2); last[k] = r.getLong(3);
-        begin[k] = from + r.getInt(4);
-        Arrays.fill(piece, begin[k], from + r.getInt(5) + 1, k);
-      }
+        begin[k] = it == null ? from : from + r.getInt(4);
+        Arrays.fill(piece, begin[k], it == null ? from + parts[i].length - window + 1 : from + r.getInt(5) + 1, k);
+        k++;
+      } while (it != null && it.hasNext());
       from += parts[i].length + 1;
     }
     // 0 ends everything, 1 ends a context; a match never counts beyond the end of its context
