@@ -30,9 +30,10 @@ _SPACED = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 9
 _ASCII_LOWER = {b: b + 32 for b in range(65, 91)}
 
 
-def words_of(text: str | None) -> list[bytes]:
+def words_of(text: str | bytes | None) -> list[bytes]:
     """The words, A-Z lower-cased, as UTF-8; a null has none."""
-    return text.encode("utf-8", "replace").translate(_SPACED).split() if text else []
+    raw = text.encode("utf-8", "replace") if isinstance(text, str) else text
+    return raw.translate(_SPACED).split() if raw else []
 
 
 def word_spans(text: str) -> list[tuple[int, int]]:

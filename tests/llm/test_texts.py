@@ -274,6 +274,41 @@ def test_near_duplicates_of_odd_rows(odd, empty):
     assert near_dup.keep_one(odd).columns == odd.columns
 
 
+def test_near_duplicates_without_ids_and_with_one_id_twice(spark):
+    rng = random.Random(11)
+    text = lambda n: [f"w{rng.randint(0, 5000)}" for _ in range(n)]
+    a, b, c = text(120), text(80), text(60)
+    near = " ".join([*a[:60], "changed", *a[61:]])
+    rows = [(1, " ".join(a)), (None, near), (2, " ".join(b)), (2, " ".join(c)), (0, " ".join(c)), (None, " ".join(text(50))), (3, " ".join(b)), (3, " ".join(b)), (4, ""), (4, ""), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.class_id, r.representative) for r in near_dup.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(1, 1, True), (None, 1, False), (2, 2, True), (2, 0, False), (0, 0, True), (None, None, False), (3, 2, False), (3, 2, False), (4, 4, True), (4, 4, True), (None, None, False)], key=str)
+    kept = Counter((r.doc_id, r.text) for r in near_dup.keep_one(df).collect())
+    assert kept == Counter([rows[0], rows[2], rows[4], rows[5], rows[8], rows[9], rows[10]])
+    twice = spark.createDataFrame([(1, " ".join(a)), (1, " ".join(b))], "doc_id long, text string")
+    assert near_dup.keep_one(twice).count() == 2
+    again = near_dup.keep_one(df.unionByName(df).where("text is not null and text <> ''"))
+    assert Counter((r.doc_id, r.text) for r in again.collect()) == Counter([rows[0], rows[2], rows[4], rows[5]])
+
+
+def test_near_duplicates_in_hot_buckets(spark, monkeypatch):
+    """Many texts share bands without being similar; blocks of few items and pairs of none give what all pairs give."""
+    monkeypatch.setattr(near_dup, "STAR_ROUNDS", 1)
+    monkeypatch.setattr(near_dup, "BLOCK", 16)
+    monkeypatch.setattr(near_dup, "BLOCK_ITEMS", 4000)
+    rng = random.Random(12)
+    common = [f"c{i}" for i in range(200)]
+    docs = []
+    for i in range(60):
+        own = [f"d{i}x{k}" for k in range(70)]
+        docs.append((2 * i, " ".join(common + own)))
+        if i % 3 == 0:
+            own[rng.randrange(70)] = "else"
+            docs.append((2 * i + 1, " ".join(common + own)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_dup.near_duplicates(df).collect()} == brute_classes(docs)
+
+
 # token counts
 def test_token_counts(spark, odd, empty, corpus):
     import public_tokenizers
