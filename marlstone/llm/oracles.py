@@ -56,7 +56,7 @@ WITH RECURSIVE j(doc_id, n, b, j, k) AS (
 h AS (SELECT doc_id, max(CASE WHEN n=24 THEN b END) AS shard, max(CASE WHEN n=25 THEN b END) AS grown FROM j WHERE j >= n GROUP BY doc_id),
 r AS (SELECT doc_id, CAST(strlen(coalesce(text,'')) + 8 AS BIGINT) AS size, hex(encode(coalesce(text,''))) AS x FROM documents),
 c AS (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, len(x)//2), lambda i: CAST('0x'||substr(x, 2*i+1, 2) AS BIGINT))), lambda a, y: list_reduce([xor(a, y), 0, 0, 0, 0, 0, 0, 0, 0], lambda u, v: xor(u >> 1, 3988292384::BIGINT * (u & 1)))), 4294967295::BIGINT) AS text_crc32 FROM r)
-SELECT c.doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY shard ORDER BY c.doc_id % 4096, c.doc_id, size, text_crc32) - 1 AS slot, CAST(grown AS INTEGER) AS grown_shard FROM c JOIN h ON c.doc_id = h.doc_id""",
+SELECT c.doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY shard ORDER BY md5(coalesce(CAST(c.doc_id AS VARCHAR), '') || ':' || size || ':' || text_crc32), c.doc_id, size, text_crc32) - 1 AS slot, CAST(grown AS INTEGER) AS grown_shard FROM c JOIN h ON c.doc_id = h.doc_id""",
     "op7_near_dup": f"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_AZ % "text"}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 s AS (SELECT doc_id, array_to_string(w[i:i+4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w)-4, 1)+1)) AS i FROM w WHERE len(w) > 0)),

@@ -32,9 +32,13 @@ def test_only_the_new_shard_takes_rows(spark):
     assert all(r.a == r.b or r.b == 9 for r in got) and 300 < sum(r.a != r.b for r in got) < 700
 
 
-def test_sharding(odd, empty, corpus):
+def test_sharding(spark, odd, empty, corpus, monkeypatch):
+    monkeypatch.setattr(sharding, "PART_ROWS", 3)
+    monkeypatch.setattr(sharding, "COPIES", 7)
     assert sharding.shard(empty, 24).count() == 0
-    for df in (odd, corpus):
+    strided = spark.range(0, 4096 * 500, 4096).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    nulls = spark.range(500).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 90).alias("text"))
+    for df in (odd, corpus, strided, nulls.unionByName(strided)):
         rows, told = sharding.shard(df, 24).collect(), df.select("doc_id", "text").collect()
         want = Counter((r.doc_id, len((r.text or "").encode()) + 8, zlib.crc32((r.text or "").encode()), jump(r.doc_id or 0, 24), jump(r.doc_id or 0, 25)) for r in told)
         assert Counter((r.doc_id, r["size"], r.text_crc32, r["shard"], r.grown_shard) for r in rows) == want
