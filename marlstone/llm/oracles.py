@@ -27,8 +27,8 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item
 SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit,0) AS n_hit, coalesce(n_items,0) AS n_items, sha256(coalesce(joined,'')) AS items_sha256, coalesce(n_hit,0)>0 AS contaminated
 FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
     "op9_mixing": """
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text,'[^\\x20\\x09-\\x0D]+')),0) AS size, length(text) AS chars FROM documents),
-k AS (SELECT *, -ln((CAST('0x'||substr(md5('mix'||coalesce(CAST(doc_id AS VARCHAR),'')),1,13) AS BIGINT)+0.5::DOUBLE)/4503599627370496.0::DOUBLE)/(CASE WHEN chars::DOUBLE/greatest(size,1) BETWEEN 3 AND 13 THEN 1.0::DOUBLE ELSE 0.25::DOUBLE END) AS key FROM d),
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text,'[^\\x20\\x09-\\x0D]+')),0) AS size, coalesce(CAST(doc_id AS VARCHAR),'null:'||md5(coalesce(text,''))) AS name, length(text)::DOUBLE/greatest(coalesce(len(regexp_extract_all(text,'[^\\x20\\x09-\\x0D]+')),0),1) AS mean FROM documents),
+k AS (SELECT *, -ln((CAST('0x'||substr(md5('mix'||name),1,13) AS BIGINT)+0.5::DOUBLE)/4503599627370496.0::DOUBLE)/(CASE WHEN mean IS NULL THEN 0.25::DOUBLE ELSE greatest(0.25::DOUBLE, least(1.0::DOUBLE, mean/3.0::DOUBLE, 13.0::DOUBLE/greatest(mean, 1e-9::DOUBLE))) END) AS key FROM d),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5.0::DOUBLE,2.0::DOUBLE,1.0::DOUBLE][((row_number() OVER (ORDER BY source NULLS LAST)-1)%3)+1] AS w, source_size*2.0::DOUBLE AS most FROM s),
 l AS (SELECT *, (sum(source_size) OVER ()*1.5::DOUBLE - coalesce(sum(most) OVER (ORDER BY most/w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0))/sum(w) OVER (ORDER BY most/w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev FROM w),

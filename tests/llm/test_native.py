@@ -73,8 +73,10 @@ def brute_mix(rows, pattern=(5, 2, 1), share=1.5, cap=2.0):
         own = []
         for i, src, n, t in sizes:
             if src == s:
-                u = (int(hashlib.md5(f"mix{'' if i is None else i}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
-                quality = 1.0 if t is not None and 3 <= len(t) / max(n, 1) <= 13 else 0.25
+                name = "null:" + hashlib.md5((t or "").encode()).hexdigest() if i is None else i
+                u = (int(hashlib.md5(f"mix{name}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+                mean = None if t is None else max(len(t) / max(n, 1), 1e-9)
+                quality = 0.25 if t is None else max(0.25, min(1.0, mean / 3, 13 / mean))
                 own.append((-math.log(u) / quality, i, n))
         epochs = int(target[s] // total[s]) if total[s] else 0
         rest, before = target[s] - epochs * total[s], 0
@@ -93,6 +95,24 @@ def test_mixing(odd, empty, corpus):
     assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(odd, keep=["source"]).collect()))
 
 
+def test_mixing_without_ids_and_of_many_sources(spark, monkeypatch):
+    docs = [(None, " ".join(f"word{k}" for k in range(i % 40 + 5)) + f" {i}", f"s{i % 3}") for i in range(600)]
+    got = mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string"), keep=["source"]).collect()
+    target, taken = {r.source: r.target for r in got}, Counter()
+    for r in got:
+        taken[r.source] += r.taken
+    assert all(abs(taken[s] - target[s]) <= 45 for s in target) and {r.taken // r["size"] for r in got} <= {0, 1, 2}
+    many = [(i, " ".join(["some"] * (i * i % 90 + 1)) + " text", f"host{i % 211}" if i % 7 else None) for i in range(1500)]
+    df = spark.createDataFrame(many, "doc_id long, text string, source string")
+    for limit in (mixing.BROADCAST_SOURCES, 0):
+        monkeypatch.setattr(mixing, "BROADCAST_SOURCES", limit)
+        got = sorted(((r.doc_id, r["size"], r.source_size, round(r.target, 6), r.taken) for r in mixing.mix(df).collect()), key=str)
+        assert got == brute_mix([(r.doc_id, r.text, r.source) for r in df.collect()])
+    weighed = df.withColumn("good", F.when(F.col("doc_id") % 2 == 0, 1.0).otherwise(0.25))
+    share = mixing.mix(weighed.withColumn("source", F.lit("a")), (1,), 0.4, weight="good").where("taken > 0").agg(F.avg(F.col("doc_id") % 2)).first()[0]
+    assert share < 0.35
+
+
 URLS = [None, "", "no scheme", "http://", "https://EXAMPLE.com/en/7", "http://example.com/en/75?x=/de/", "http://a.example.com/en/8", "http://xexample.com/en/", "ftp://b.net/de/8", "http://example.net/de/8", "http://sub.example.net/de/89#f", "http://org/es/", "http://a.org/ES/", "http://a.org:80/es/", "http://É.ORG/es/x", "http://a.com?/en/", "http://com/en/1://x"]
 
 
