@@ -7,7 +7,7 @@ Viterbi path over the words pays a penalty for each switch, so a text of several
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,11 +19,11 @@ from .common import ship, trim
 
 #: Buckets of hashed pairs and of hashed triples, the penalty of a switch (natural log), the smoothing count.
 BUCKETS, SWITCH, SMOOTH = 1 << 15, 6.0, 0.5
-#: The model is fitted on about so many documents of each language, drawn by a hash of doc_id; more languages raise.
+#: The model is fitted on about so many documents of each language, drawn by a hash of doc_id, and on so many languages: those of most documents.
 SAMPLE_PER_LANGUAGE, MOST_LANGUAGES = 2000, 256
 #: A script must have this share of a language's training words to be one of its scripts.
 SCRIPT_SHARE = 0.001
-#: Characters of texts whose words are scored at a time.
+#: Characters of texts whose words are scored at a time; longer texts are scored in pieces of about so many.
 CHUNK = 1 << 20
 #: First and last code points of letters of the commoner scripts (Unicode block ranges).
 SCRIPTS = {
@@ -57,16 +57,28 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return _TABLES[0], _TABLES[1]
 
 
+def pieces(text: str, size: int = 0) -> Iterator[tuple[int, str, int, bool]]:
+    """Parts of a text cut where no letter stands: offset, part, how much of its start the one before has too, last."""
+    at, n = 0, len(text)
+    while True:
+        end = min(at + (size or CHUNK), n)
+        while end < n and text[end].isalpha():
+            end += 1
+        skip = min(at, 2)  # the pairs and triples of a word reach back as far
+        yield at - skip, text[at - skip : end], skip, end == n
+        if end == n:
+            return
+        at = end
+
+
 class Words:
-    """The words of texts, laid end to end: document, first and last character, script, and hashed n-grams."""
+    """The words of lower-cased texts, laid end to end: document, first and last character, script, and hashed n-grams."""
 
-    def __init__(self, texts: list[str | None]):
+    def __init__(self, texts: list[str]):
         is_letter, script = _tables()
-        lowered = [(t or "").lower() for t in texts]
-        #: lower-casing can change the length of a few letters; then spans refer to the lower-cased text
-        lengths = np.array([len(t) + 1 for t in lowered], dtype=np.int64)
+        lengths = np.array([len(t) + 1 for t in texts], dtype=np.int64)
         self.starts = np.concatenate(([0], np.cumsum(lengths)))
-        codes = np.frombuffer("\n".join([*lowered, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        codes = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         letter = is_letter[codes]
         edges = np.flatnonzero(np.diff(np.concatenate(([False], letter, [False])).astype(np.int8)))
         self.first, self.last = edges[::2], edges[1::2]
@@ -94,39 +106,83 @@ class Model:
     def __init__(self, languages: list[str], log_p: np.ndarray, scripts: np.ndarray):
         self.languages, self.log_p, self.scripts = languages, log_p, scripts
 
-    def paths(self, texts: pa.Array, switch: float = SWITCH) -> Iterator[tuple[int, int, Words, np.ndarray]]:
-        """Parts of the texts (first, end), their words, and the number of the language of each word by the best path.
+    def _scores(self, words: Words) -> np.ndarray:
+        scores = words.sums(self.log_p)
+        allowed = self.scripts[words.script]
+        allowed |= ~allowed.any(axis=1, keepdims=True)
+        scores[~allowed] = -1e6
+        return scores
+
+    def paths(self, texts: Iterable[str], switch: float = SWITCH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of words: number of the text, first and last character in the lower-cased text, and number of the language by the best path.
 
-        A part has CHUNK characters and what its last text is longer, which bounds what is in memory.
+        About CHUNK characters are scored at a time, of a long text too. The words of a text come in their order.
         """
-        start = 0
-        while start < len(texts):
-            end, part, size = start, [], 0
-            while end < len(texts) and (end == start or size < CHUNK):
-                part.append(texts[end].as_py())
-                size += len(part[-1] or "")
-                end += 1
-            words = Words(part)
-            state = np.zeros(len(words.first), dtype=np.int64)
-            if len(words.first) and self.languages:
-                scores = words.sums(self.log_p)
-                allowed = self.scripts[words.script]
-                allowed |= ~allowed.any(axis=1, keepdims=True)
-                scores[~allowed] = -1e6
-                state = viterbi(scores, words.document, switch)
-            yield start, end, words, state
-            start = end
-
-
-def viterbi(scores: np.ndarray, document: np.ndarray, switch: float) -> np.ndarray:
-    """The best state of each row; rows of a document follow each other. All documents advance a row at a time together."""
+        part, where, size = [], [], 0
+        for i, t in enumerate(texts):
+            t = t.lower()
+            if len(t) > CHUNK:
+                yield from self._long(i, t, switch)
+                continue
+            part.append(t)
+            where.append(i)
+            size += len(t)
+            if size >= CHUNK:
+                yield self._short(part, where, switch)
+                part, where, size = [], [], 0
+        if part:
+            yield self._short(part, where, switch)
+
+    def _short(self, part: list[str], where: list[int], switch: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        words = Words(part)
+        start = words.starts[words.document]
+        state = viterbi(self._scores(words), words.document, switch)
+        return np.array(where, dtype=np.int64)[words.document], words.first - start, words.last - start, state
+
+    def _long(self, i: int, text: str, switch: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """A path is settled up to the last word whose language is beyond doubt; the words behind it wait for the next piece."""
+        before, scores, spans = -1, np.zeros((0, len(self.languages))), np.zeros((0, 2), dtype=np.int64)
+        for offset, piece, skip, last in pieces(text):
+            words = Words([piece])
+            new = words.first >= skip
+            scores = np.concatenate((scores, self._scores(words)[new]))
+            spans = np.concatenate((spans, np.stack((words.first, words.last), axis=1)[new] + offset))
+            sure = np.flatnonzero(certain(scores, switch))
+            end = len(scores) if last else int(sure[-1]) + 1 if len(sure) else 0
+            if end:
+                state = viterbi(scores[:end], np.zeros(end, dtype=np.int64), switch, before)
+                yield np.full(end, i), spans[:end, 0], spans[:end, 1], state
+                before, scores, spans = int(state[-1]), scores[end:], spans[end:]
+
+
+def certain(scores: np.ndarray, switch: float) -> np.ndarray:
+    """Rows whose best state is on every best path: going there and back costs less than any other state there."""
+    if scores.shape[1] < 2:
+        return np.ones(len(scores), dtype=bool)
+    two = np.partition(scores, -2, axis=1)[:, -2:]
+    return two[:, 1] - two[:, 0] > 2 * switch
+
+
+def viterbi(scores: np.ndarray, document: np.ndarray, switch: float, before: int = -1) -> np.ndarray:
+    """The best state of each row; rows of a document follow each other. before: the state before the first row, if any.
+
+    The certain rows cut the documents into stretches that don't depend on each other; all advance a row at a time
+    together.
+    """
     n, k = scores.shape
-    first = np.flatnonzero(np.concatenate(([True], document[1:] != document[:-1])))
+    if not n:
+        return np.zeros(0, dtype=np.int64)
+    new = np.concatenate(([True], document[1:] != document[:-1]))
+    sure = certain(scores, switch)
+    cut = new | np.concatenate(([False], sure[:-1]))
+    first = np.flatnonzero(cut)
     length = np.diff(np.concatenate((first, [n])))
     by = np.argsort(-length, kind="stable")
     first, length = first[by], length[by]
-    live = np.searchsorted(-length, -np.arange(int(length[0])), side="left")  # documents with more rows than t
-    value = scores[first]
+    live = np.searchsorted(-length, -np.arange(int(length[0])), side="left")  # stretches with more rows than t
+    known = np.where(new[first], -1, scores[first - 1].argmax(axis=1))
+    known[first == 0] = before
+    value = scores[first] - np.where((known >= 0)[:, None] & (known[:, None] != np.arange(k)), switch, 0.0)
     switched = np.zeros((n, k), dtype=bool)
     best_before = np.zeros(n, dtype=np.int16)
     for t in range(1, int(length[0])):
@@ -153,48 +209,56 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     seen: dict[str, np.ndarray] = {}
     scripts: dict[str, np.ndarray] = {}
     for batch in batches:
-        for language, own in ((k, [t]) for k, t in zip(batch["lang"], batch["text"], strict=True)):
-            words = Words(own)
+        for language, text in zip(batch["lang"], batch["text"], strict=True):
             total = seen.setdefault(language, np.zeros(2 * BUCKETS, dtype=np.int64))
-            inside = np.zeros(len(words.pairs) + 1, dtype=np.int64)
-            np.add.at(inside, words.first, 1)
-            np.add.at(inside, np.minimum(words.last + 1, len(words.pairs)), -1)
-            inside = np.cumsum(inside[:-1]) > 0
-            total += np.bincount(words.pairs[inside], minlength=2 * BUCKETS) + np.bincount(words.triples[inside], minlength=2 * BUCKETS)
-            scripts.setdefault(language, np.zeros(len(SCRIPTS) + 1, dtype=np.int64))[:] += np.bincount(words.script, minlength=len(SCRIPTS) + 1)
+            for _, piece, skip, _ in pieces(bytes(text).decode("utf-8", "replace").lower()):
+                words = Words([piece])
+                new = words.first >= skip
+                first, last = words.first[new], words.last[new]
+                inside = np.zeros(len(words.pairs) + 1, dtype=np.int64)
+                np.add.at(inside, first, 1)
+                np.add.at(inside, np.minimum(last + 1, len(words.pairs)), -1)
+                inside = np.cumsum(inside[:-1]) > 0
+                total += np.bincount(words.pairs[inside], minlength=2 * BUCKETS) + np.bincount(words.triples[inside], minlength=2 * BUCKETS)
+                scripts.setdefault(language, np.zeros(len(SCRIPTS) + 1, dtype=np.int64))[:] += np.bincount(words.script[new], minlength=len(SCRIPTS) + 1)
     for language, total in seen.items():
         at, some = np.flatnonzero(total), np.flatnonzero(scripts[language])
         yield pd.DataFrame({"lang": language, "bucket": np.concatenate((at, -1 - some)), "n": np.concatenate((total[at], scripts[language][some]))})
 
 
-def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
+def _learned(counts: pd.DataFrame) -> pd.DataFrame:
+    """The log probabilities of one language as bytes, and which scripts it uses."""
+    bucket, n = counts["bucket"].to_numpy(), counts["n"].to_numpy()
+    table, scripts = np.zeros(2 * BUCKETS), np.zeros(len(SCRIPTS) + 1)
+    grams = bucket >= 0
+    table[bucket[grams]], scripts[-1 - bucket[~grams]] = n[grams], n[~grams]
+    halves = [np.log((half + SMOOTH) / (half.sum() + SMOOTH * BUCKETS)) for half in (table[:BUCKETS], table[BUCKETS:])]
+    uses = scripts >= np.maximum(1, SCRIPT_SHARE * scripts.sum())
+    return pd.DataFrame({"lang": [counts["lang"].iloc[0]], "log_p": [np.concatenate(halves).astype(np.float32).tobytes()], "scripts": [uses.tolist()]})
+
+
+def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, languages: int = MOST_LANGUAGES) -> Model:
     """docs: doc_id, text, lang. Rows with a null text, lang or doc_id teach nothing; no rows make an empty model.
 
-    The sample takes a document if a hash of its id falls below per_language / documents of its language. Counts are
-    summed on the executors; the driver gets one row per language and bucket at most.
+    The sample takes a document if a hash of its id falls below per_language / documents of its language. Of more
+    labels than `languages` those of most documents are learned, in doubt the first by name; the others are never
+    predicted. Counts are summed and turned into probabilities on the executors; the driver gets one row of 256 KiB
+    per language.
     """
-    rows = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null and doc_id is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), "lang").where("text is not null and lang is not null and doc_id is not null")
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
     if not sizes:
         return Model([], np.zeros((2 * BUCKETS, 0), dtype=np.float32), np.zeros((len(SCRIPTS) + 1, 0), dtype=bool))
     ship(docs.sparkSession)
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_language / n))]), F.col("lang"))
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 30)) / float(1 << 30) < share
-    counts = rows.where(drawn).select("text", "lang").mapInPandas(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(sizes)
-    column = counts["lang"].map({k: i for i, k in enumerate(languages)}).to_numpy()
-    bucket, n = counts["bucket"].to_numpy(), counts["n"].to_numpy()
-    table = np.zeros((2 * BUCKETS, len(languages)))
-    grams = bucket >= 0
-    table[bucket[grams], column[grams]] = n[grams]
-    scripts = np.zeros((len(SCRIPTS) + 1, len(languages)))
-    scripts[-1 - bucket[~grams], column[~grams]] = n[~grams]
-    log_p = np.empty_like(table, dtype=np.float32)
-    for half in (slice(0, BUCKETS), slice(BUCKETS, 2 * BUCKETS)):
-        log_p[half] = np.log((table[half] + SMOOTH) / (table[half].sum(axis=0) + SMOOTH * BUCKETS))
-    return Model(languages, log_p, scripts >= np.maximum(1, SCRIPT_SHARE * scripts.sum(axis=0)))
+    counts = rows.where(F.col("lang").isin(list(sizes)) & drawn).select("text", "lang").mapInPandas(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    told = counts.groupBy("lang").applyInPandas(_learned, "lang string, log_p binary, scripts array<boolean>").collect()
+    told = sorted(told, key=lambda r: r["lang"])
+    if not told:
+        return fit(docs.limit(0))
+    log_p = np.stack([np.frombuffer(bytes(r["log_p"]), dtype=np.float32) for r in told], axis=1)
+    return Model([r["lang"] for r in told], log_p, np.array([r["scripts"] for r in told], dtype=bool).T)
 
 
 def identify(docs: DataFrame, model: Model, switch: float = SWITCH, spans: bool = False) -> DataFrame:
@@ -202,8 +266,9 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH, spans: bool
 
     lang_pred: the language with most letters on the best path; und if the text is null or has no letter, or the
     model is empty. score: its share of the letters (0 for und). lang_spans: character ranges in the lower-cased
-    text and their languages. Only the text is read for a prediction. Whole texts of any length; other columns pass
-    through, except ones named as the results, which are replaced.
+    text and their languages. Only the text is read for a prediction. Whole texts of any length, a long one in
+    pieces whose path goes on from one to the next; other columns pass through, except ones named as the results, which are
+    replaced.
     """
     import pyspark.sql.types as T
 
@@ -220,23 +285,27 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH, spans: bool
         m: Model = known.value
         names = np.array([*m.languages, UNDETERMINED], dtype=object)
         for batch in batches:
-            for start, end, words, state in m.paths(batch.column(at), switch):
-                part, n = batch.slice(start, end - start), end - start
-                letters = np.zeros((n, len(names)), dtype=np.int64)
-                if m.languages:
-                    np.add.at(letters, (words.document, state), words.last - words.first)
-                total = letters.sum(axis=1)
-                best = np.where(total > 0, letters.argmax(axis=1), len(names) - 1)
-                columns = [*part.columns, pa.array(names[best].tolist(), pa.string()), pa.array(letters[np.arange(n), best] / np.maximum(total, 1), pa.float64())]
-                if spans:
-                    out: list[list[dict]] = [[] for _ in range(n)]
-                    if len(state) and m.languages:
-                        cut = np.flatnonzero(np.concatenate(([True], (state[1:] != state[:-1]) | (words.document[1:] != words.document[:-1]))))
-                        for a, b in zip(cut, [*(cut[1:] - 1), len(state) - 1], strict=True):
-                            d = int(words.document[a])
-                            out[d].append({"start": int(words.first[a] - words.starts[d]), "end": int(words.last[b] - words.starts[d]), "lang": names[state[a]]})
-                    columns.append(pa.array(out, pa.list_(span)))
-                yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(others))] + new)
+            n = batch.num_rows
+            raw = batch.column(at).cast(pa.binary())  # bytes that aren't UTF-8 are read as the replacement character
+            texts = ((t.as_py() or b"").decode("utf-8", "replace") for t in raw)
+            letters = np.zeros((n, len(names)), dtype=np.int64)
+            out: list[list[dict]] = [[] for _ in range(n if spans else 0)]
+            for document, first, last, state in m.paths(texts, switch) if m.languages else ():
+                np.add.at(letters, (document, state), last - first)
+                if spans and len(state):
+                    cut = np.flatnonzero(np.concatenate(([True], (state[1:] != state[:-1]) | (document[1:] != document[:-1]))))
+                    for a, b in zip(cut, [*(cut[1:] - 1), len(state) - 1], strict=True):
+                        own, lang = out[int(document[a])], names[state[a]]
+                        if own and own[-1]["lang"] == lang:
+                            own[-1]["end"] = int(last[b])
+                        else:
+                            own.append({"start": int(first[a]), "end": int(last[b]), "lang": lang})
+            total = letters.sum(axis=1)
+            best = np.where(total > 0, letters.argmax(axis=1), len(names) - 1)
+            columns = [*batch.columns, pa.array(names[best].tolist(), pa.string()), pa.array(letters[np.arange(n), best] / np.maximum(total, 1), pa.float64())]
+            if spans:
+                columns.append(pa.array(out, pa.list_(span)))
+            yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(others))] + new)
             trim()
 
     fields = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(others)]

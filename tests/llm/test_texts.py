@@ -145,6 +145,85 @@ def test_viterbi_is_the_best_path():
         assert tuple(got[document == d]) == best
 
 
+    sharp = rng.normal(size=(400, 4)) * 6
+    rows = np.repeat(np.arange(8), 50)
+    cost = lambda path, d, switch: sum(sharp[d * 50 + i, s] for i, s in enumerate(path)) - switch * sum(a != b for a, b in zip(path, path[1:], strict=False))
+    for switch in (0.5, 3.0):
+        assert 20 < language_id.certain(sharp, switch).sum() < 400 if switch < 1 else True
+        got = language_id.viterbi(sharp, rows, switch)
+        for d in range(8):
+            assert abs(cost(got[rows == d].tolist(), d, switch) - cost(brute_path(sharp[rows == d], switch), d, switch)) < 1e-9
+
+
+def brute_path(scores, switch):
+    """The best path by plain dynamic programming."""
+    best = [(float(s), [k]) for k, s in enumerate(scores[0])]
+    for row in scores[1:]:
+        best = [max(((v - switch * (p[-1] != k) + float(s), [*p, k]) for v, p in best), key=lambda x: x[0]) for k, s in enumerate(row)]
+    return max(best, key=lambda x: x[0])[1]
+
+
+def brute_language(model, text):
+    """Language and score of a text, word by word."""
+    is_letter, script = language_id._tables()
+    lowered = (text or "").lower()
+    c = [ord(x) if x.isalpha() else 32 for x in lowered] + [32]
+    mask, shift = (1 << 64) - 1, 64 - language_id.BUCKETS.bit_length() + 1
+    prior = lambda i: c[i] if i >= 0 else 32
+    scores, sizes = [], []
+    for m in re.finditer(r"[^\W\d_]+", "".join(chr(x) if x != 32 else " " for x in c)):
+        total = np.zeros(len(model.languages))
+        for i in range(m.start(), m.end() + 1):
+            two = (prior(i - 1) * 0x9E3779B1 + c[i]) & mask
+            total += model.log_p[((two * 0x9E3779B97F4A7C15) & mask) >> shift]
+            three = (two + prior(i - 2) * 0x85EBCA6B) & mask
+            total += model.log_p[(((three * 0x9E3779B97F4A7C15) & mask) >> shift) + language_id.BUCKETS]
+        allowed = model.scripts[script[c[m.start()]]]
+        scores.append(np.where(allowed | ~allowed.any(), total, -1e6))
+        sizes.append(m.end() - m.start())
+    if not scores:
+        return "und", 0.0
+    letters = Counter()
+    for k, n in zip(brute_path(np.array(scores), language_id.SWITCH), sizes, strict=True):
+        letters[k] += n
+    best = max(letters.values())
+    return model.languages[min(k for k, v in letters.items() if v == best)], best / sum(sizes)
+
+
+@pytest.mark.parametrize("chunk", [1 << 20, 300])
+def test_language_against_word_by_word(spark, corpus, odd, monkeypatch, chunk):
+    monkeypatch.setattr(language_id, "CHUNK", chunk)
+    model = language_id.fit(corpus)
+    monkeypatch.setattr(language_id, "CHUNK", 1 << 20)
+    again = language_id.fit(corpus)
+    assert (model.log_p == again.log_p).all() and (model.scripts == again.scripts).all()
+    texts = {(r.doc_id, r.text) for df in (corpus, odd) for r in df.collect() if len(r.text or "") < 6000}
+    texts |= {(900 + i, " ".join((t or "")[:150] for _, t in sorted(texts, key=str)[i : i + 6])) for i in range(20)}
+    order = sorted(texts, key=str)
+    monkeypatch.setattr(language_id, "CHUNK", chunk)
+    letters = np.zeros((len(order), len(model.languages)), dtype=np.int64)
+    for document, first, last, state in model.paths(t or "" for _, t in order):
+        np.add.at(letters, (document, state), last - first)
+    for (_, t), own in zip(order, letters, strict=True):
+        want = brute_language(model, t)
+        got = ("und", 0.0) if not own.sum() else (model.languages[int(own.argmax())], own.max() / own.sum())
+        assert got[0] == want[0] and abs(got[1] - want[1]) < 1e-12
+    if chunk > 300:
+        df = spark.createDataFrame(order, "doc_id long, text string")
+        told = Counter((r.doc_id, r.lang_pred, round(r.score, 12)) for r in language_id.identify(df, model).collect())
+        assert told == Counter((i, b[0], round(b[1], 12)) for i, t in order for b in [brute_language(model, t)])
+
+
+def test_language_with_many_labels(spark):
+    rows = [(i, f"words of label{i % 300} and text{i % 300}", f"l{i % 300:03}") for i in range(900)]
+    df = spark.createDataFrame(rows + [(1000, "words", None)], "doc_id long, text string, lang string")
+    model = language_id.fit(df, languages=20)
+    assert model.languages == [f"l{i:03}" for i in range(20)]
+    assert len(language_id.fit(df).languages) == language_id.MOST_LANGUAGES
+    bad = spark.sql("SELECT 1L AS doc_id, CAST(X'ff61fe62' AS STRING) AS text")
+    assert language_id.identify(bad, model).count() == 1
+
+
 def test_language(spark, odd, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))))
