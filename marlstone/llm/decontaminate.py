@@ -9,6 +9,7 @@ Words that no benchmark item has can't be part of a match: runs of them are one
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from itertools import repeat
@@ -18,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, trim
+from .common import drop_stored, ship, stored, trim
 
 #: Words of a window; an item of fewer words is one window.
 WINDOW = 10
 #: Words of documents in one index, positions between sampled suffixes, bytes of benchmark text searched in one pass.
-SHARD_WORDS, SAMPLE, BLOCK_BYTES = 400_000, 8, 16 << 20
+SHARD_WORDS, SAMPLE, BLOCK_BYTES = 400_000, 8, 8 << 20
+#: Words of an item that are one piece; pieces overlap by what a window may cross.
+PIECE_WORDS = 50_000
 END, GAP, FIRST = 0, 1, 2
 _WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 _SPACED = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -155,81 +158,106 @@ class FMIndex:
         return out
 
 
+def _split(window: int):
+    """item and words of its pieces, joined; `short` if the item has fewer words than a window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0), batch.column(1), strict=True):
+                w = words_of(text.as_py())
+                starts = range(0, max(1, len(w) - window + 1), PIECE_WORDS) if w else ()
+                parts = [b" ".join(w[i : i + PIECE_WORDS + window - 1]) for i in starts]
+                if parts:
+                    yield pa.RecordBatch.from_arrays([pa.array([item.as_py()] * len(parts)), pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.binary())], names=["item", "piece", "words"])
+
+    return run
+
+
+def _pack(window: int):
+    """The pieces of a block as one row of packed arrays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = [(i.as_py(), w.as_py()) for batch in batches for i, w in zip(batch.column("item"), batch.column("words"), strict=True)]
+        if pieces:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(pack(pieces, window), protocol=5)], pa.binary())], names=["packed"])
+
+    return run
+
+
+def pack(pieces: list[tuple[str, bytes]], window: int = WINDOW) -> dict:
+    """pieces: item and its words, joined. The distinct words, all words as numbers, and of each piece its item, start and length."""
+    ids: dict[bytes, int] = {}
+    items: dict[str, int] = {}
+    streams, own = [], []
+    for item, joined in pieces:
+        w = joined.split()
+        streams.append(np.fromiter((ids.setdefault(x, len(ids) + FIRST) for x in w), dtype=np.int32, count=len(w)))
+        own.append(items.setdefault(item, len(items)))
+    lengths = np.array([len(x) for x in streams], dtype=np.int64)
+    return {"words": b" ".join(ids), "stream": np.concatenate(streams), "lengths": lengths, "own": np.array(own, dtype=np.int32), "items": list(items), "window": window}
+
+
 class Phrases:
-    """The windows of benchmark items, as symbols, by length; the items of each."""
-
-    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
-        self.ids: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
-            w = [self.ids.setdefault(x, len(self.ids) + FIRST) for x in words_of(text)]
-            for i in range(max(1, len(w) - window + 1) if w else 0):
-                found.setdefault(tuple(w[i : i + window]), set()).add(item)
+    """The windows of a block of benchmark items. They are places in the items' words; nothing is stored for each."""
+
+    def __init__(self, packed: dict):
+        self.ids = {w: i + FIRST for i, w in enumerate(packed["words"].split())}
+        self.stream, self.items, window = packed["stream"], packed["items"], packed["window"]
+        lengths = packed["lengths"]
+        first = np.cumsum(lengths) - lengths
         self.sigma = len(self.ids) + FIRST
-        self.shortest = min(map(len, found), default=0)
+        sizes = np.minimum(lengths, window)
+        self.shortest = int(sizes.min(initial=window))
         self.by_length = []
-        for n in sorted({len(w) for w in found}):
-            own = [w for w in found if len(w) == n]
-            self.by_length.append((n, np.array(own, dtype=np.int64), [sorted(found[w]) for w in own]))
-
-    def hits(self, texts: list[list[bytes]]) -> list[tuple[list[tuple[int, int]], set[str]]]:
-        """For each text: merged spans of hit words, and the items with a window in it."""
-        out: list[tuple[list[tuple[int, int]], set[str]]] = [([], set()) for _ in texts]
+        for n in np.unique(sizes):
+            piece = np.flatnonzero(sizes == n)
+            count = lengths[piece] - n + 1
+            which = np.repeat(np.arange(len(piece)), count)
+            starts = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + first[piece][which]
+            self.by_length.append((int(n), starts.astype(np.int32), packed["own"][piece][which]))
+
+    def hits(self, texts: list[list[bytes]]) -> tuple[np.ndarray, dict[int, set[str]]]:
+        """Which words of the texts, laid end to end, are hit, and the items with a window in each text that has one."""
         lengths = np.array([len(t) for t in texts], dtype=np.int64)
         starts = np.concatenate(([0], np.cumsum(lengths)))
         total = int(starts[-1])
-        if not total or not self.by_length:
-            return out
+        none, out = np.zeros(total, dtype=bool), {}
         symbols = np.fromiter((s for t in texts for s in map(self.ids.get, t, repeat(GAP))), dtype=np.int64, count=total)
         # one GAP between texts, and one for each run of words that no item has; `at` maps back to the words
-        keep = symbols != GAP
-        place = np.flatnonzero(keep)
+        place = np.flatnonzero(symbols != GAP)
         if not len(place):
-            return out
+            return none, out
         owner = np.repeat(np.arange(len(texts)), lengths)[place]
         new = np.concatenate(([False], (np.diff(place) > 1) | (np.diff(owner) > 0)))
         runs = np.cumsum(new)
         long_enough = np.bincount(runs)[runs] >= self.shortest
         place, runs = place[long_enough], runs[long_enough]
         if not len(place):
-            return out
+            return none, out
         new = np.concatenate(([False], np.diff(runs) > 0))
         to = np.arange(len(place)) + np.cumsum(new)
         text = np.full(int(to[-1]) + 2, GAP, dtype=np.int64)
         at = np.zeros(len(text), dtype=np.int64)
         text[to], at[to] = symbols[place], place
         index = FMIndex(text, self.sigma)
+        absent = np.bincount(text, minlength=self.sigma)[self.stream] == 0
+        missing = np.concatenate(([0], np.cumsum(absent, dtype=np.int32)))
         edges = np.zeros(total + 1, dtype=np.int64)
-        for n, windows, items in self.by_length:
-            low, high = index.search(windows)
+        for n, begin, item in self.by_length:
+            here = np.flatnonzero(missing[begin + n] == missing[begin])  # windows all of whose words the shard has
+            low, high = index.search(self.stream[begin[here][:, None] + np.arange(n)])
             sizes = high - low
             if not sizes.any():
                 continue
-            which = np.repeat(np.arange(len(windows)), sizes)
+            which = np.repeat(here, sizes)
             rows = np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(low, sizes)
             first = at[index.locate(rows)]
             np.add.at(edges, first, 1)
             np.add.at(edges, first + n, -1)
             document = np.searchsorted(starts, first, side="right") - 1
-            for pair in np.unique(document * len(windows) + which):
-                out[pair // len(windows)][1].update(items[pair % len(windows)])
-        hit = np.concatenate(([False], np.cumsum(edges[:-1]) > 0, [False]))
-        for d in (i for i, (_, items) in enumerate(out) if items):
-            a, b = int(starts[d]), int(starts[d + 1])
-            own = np.concatenate(([False], hit[a + 1 : b + 1], [False]))
-            turns = np.flatnonzero(own[1:] != own[:-1])
-            out[d][0].extend((int(x), int(y)) for x, y in turns.reshape(-1, 2))
-        return out
-
-
-def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+            for pair in np.unique(document * len(self.items) + item[which]):
+                out.setdefault(int(pair) // len(self.items), set()).add(self.items[int(pair) % len(self.items)])
+        return np.cumsum(edges[:-1]) > 0, out
 
 
 def _without(text: str, spans: list[tuple[int, int]]) -> str:
@@ -240,7 +268,7 @@ def _without(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[last:]])
 
 
-_SCHEMA = "n_words long, word_spans array<int>, items array<string>"
+_SCHEMA = "n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, cut: bool = False) -> DataFrame:
@@ -252,67 +280,89 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bloc
     texts without words have 0 words and no hits; items that are null, have a null id or no words have no window;
     repeated items count once. An empty benchmark or no documents are no special case.
 
-    The benchmark goes to the executors in blocks of at most block_bytes of text, each searched in a pass of its own
-    over the documents; the passes are chained, so nothing is shuffled whatever the size of either side.
+    The benchmark goes to the executors in blocks of about block_bytes of words, packed there and passed on one by
+    one; a long item is several pieces. Each shard of documents is searched block after block and a worker holds one
+    block at a time, so nothing is shuffled and memory is bounded whatever the size of either side.
     """
     import pyspark.sql.types as T
 
     spark = docs.sparkSession
     ship(spark)
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), "text")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    clash = {"text", "n_words", "n_hit", "items", "spans", "word_spans"}
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text"))
+    pieces = stored(items.mapInArrow(_split(window), "item string, piece long, words binary"), "pieces")
+    size = pieces.agg(F.sum(F.length("words"))).first()[0] or 0
+    blocks = -(-size // block_bytes)
+    passed = []
+    for k in range(blocks):
+        own = pieces.where(F.pmod(F.xxhash64("item", "piece"), F.lit(blocks)) == k).coalesce(1).mapInArrow(_pack(window), "packed binary")
+        passed += [spark.sparkContext.broadcast(bytes(r["packed"])) for r in own.collect()]  # one row
+    drop_stored(pieces)
+    clash = {"text", "n_words", "n_hit", "items", "spans"}
     others = [f for f in docs.schema.fields if f.name not in clash]
     names = {f.name: f"c{i}" for i, f in enumerate(others)}
     rows = docs.select(F.col("text").alias("t"), *[F.col(f"`{a}`").alias(b) for a, b in names.items()])
-    for k in range(blocks):
-        own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k)
-        phrases = spark.sparkContext.broadcast([tuple(r) for r in own.collect()])
-        last = k == blocks - 1
-        fields = [T.StructField(b, docs.schema[a].dataType) for a, b in names.items()]
-        schema = T.StructType([*([] if last and not cut else [T.StructField("t", T.StringType())]), *fields, *T._parse_datatype_string(_SCHEMA + (", n_hit long, spans array<struct<start:int,end:int>>" if last else "")).fields])
-        rows = rows.mapInArrow(_search(phrases, window, k > 0, last, cut, list(names.values())), schema)
+    fields = [T.StructField(b, docs.schema[a].dataType) for a, b in names.items()]
+    schema = T.StructType([*([T.StructField("t", T.StringType())] if cut else []), *fields, *T._parse_datatype_string(_SCHEMA).fields])
+    rows = rows.mapInArrow(_search(passed, cut, list(names.values())), schema)
     return rows.select(*[F.col(b).alias(a) for a, b in names.items()], "n_words", "n_hit", "items", "spans", *([F.col("t").alias("text")] if cut else []))
 
 
-def _search(phrases, window: int, chained: bool, last: bool, cut: bool, others: list[str]):
+def _blocks(passed: list) -> Iterator[Phrases]:
+    """The blocks one after the other; only a single one stays in memory."""
+    for b in passed:
+        phrases = Phrases(pickle.loads(b.value))
+        vars(b).pop("_value", None)
+        yield phrases
+
+
+def _search(passed: list, cut: bool, others: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = Phrases(phrases.value, window)
+        single = list(_blocks(passed)) if len(passed) == 1 else None
         for batch in batches:
-            texts, start = batch.column("t"), 0
+            texts, start = batch.column("t").cast(pa.binary()), 0
             while start < batch.num_rows:
                 words, count, end = [], 0, start
                 while end < batch.num_rows and (count < SHARD_WORDS or end == start):
                     words.append(words_of(texts[end].as_py()))
                     count += len(words[-1])
                     end += 1
-                part = batch.slice(start, end - start)
-                found = search.hits(words)
-                spans, items = [x[0] for x in found], [sorted(x[1]) for x in found]
-                if chained:
-                    old = part.column("word_spans").to_pylist()
-                    spans = [merge([*s, *zip(o[::2], o[1::2], strict=True)]) if o else s for s, o in zip(spans, old, strict=True)]
-                    items = [sorted({*i, *o}) for i, o in zip(items, part.column("items").to_pylist(), strict=True)]
-                columns = {c: part.column(c) for c in others}
-                if not last or cut:
-                    columns = {"t": part.column("t")} | columns
-                columns |= {"n_words": pa.array([len(w) for w in words], pa.int64()), "word_spans": pa.array([[x for s in own for x in s] for own in spans], pa.list_(pa.int32())), "items": pa.array(items, pa.list_(pa.string()))}
-                if last:
-                    columns["n_hit"] = pa.array([sum(b - a for a, b in own) for own in spans], pa.int64())
-                    ranges: list[list[dict]] = []
-                    new = part.column("t").to_pylist() if cut and any(spans) else None
-                    for i, own in enumerate(spans):
-                        at = word_spans(texts[start + i].as_py()) if own else []
-                        chars = [(at[a][0], at[b - 1][1]) for a, b in own]
-                        ranges.append([{"start": a, "end": b} for a, b in chars])
-                        if new and own:
-                            new[i] = _without(new[i], chars)
-                    if new:
-                        columns["t"] = pa.array(new, pa.string())
-                    columns["spans"] = pa.array(ranges, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
-                yield pa.RecordBatch.from_pydict(columns)
+                hit, items = np.zeros(count, dtype=bool), {}
+                for phrases in single if single is not None else _blocks(passed):
+                    more, found = phrases.hits(words)
+                    hit |= more
+                    for d, own in found.items():
+                        items.setdefault(d, set()).update(own)
+                yield _found(batch.slice(start, end - start), texts.slice(start, end - start), words, hit, items, cut, others)
                 start = end
             trim()
 
     return run
+
+
+def _found(part: pa.RecordBatch, texts: pa.Array, words: list[list[bytes]], hit: np.ndarray, items: dict[int, set[str]], cut: bool, others: list[str]) -> pa.RecordBatch:
+    n, lengths = len(words), [len(w) for w in words]
+    starts = np.cumsum([0, *lengths])
+    ranges: list[list[dict]] = [[] for _ in range(n)]
+    new = {}
+    for d in items:
+        own = np.concatenate(([False], hit[starts[d] : starts[d + 1]], [False]))
+        turns = np.flatnonzero(own[1:] != own[:-1]).reshape(-1, 2)
+        text = texts[d].as_py().decode("utf-8", "replace")
+        at = word_spans(text)
+        chars = [(at[a][0], at[b - 1][1]) for a, b in turns]
+        ranges[d] = [{"start": a, "end": b} for a, b in chars]
+        if cut:
+            new[d] = _without(text, chars).encode("utf-8", "replace")
+    columns = {c: part.column(c) for c in others}
+    if cut:
+        t = part.column("t")
+        if new:  # the bytes of the others stay as they are, valid or not
+            t = pa.array([new.get(d, x) for d, x in enumerate(texts.to_pylist())], pa.binary()).view(pa.string())
+        columns = {"t": t} | columns
+    columns |= {
+        "n_words": pa.array(lengths, pa.int64()),
+        "n_hit": pa.array([int(hit[starts[d] : starts[d + 1]].sum()) if d in items else 0 for d in range(n)], pa.int64()),
+        "items": pa.array([sorted(items.get(d, ())) for d in range(n)], pa.list_(pa.string())),
+        "spans": pa.array(ranges, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+    }
+    return pa.RecordBatch.from_pydict(columns)

@@ -53,7 +53,8 @@ def brute_leaks(docs, items):
     return sorted(out, key=str)
 
 
-def test_decontamination(spark, odd, empty, corpus):
+def test_decontamination(spark, odd, empty, corpus, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PIECE_WORDS", 15)  # most items are several pieces
     benchmark = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     items = [(r.item_id, r.text) for r in benchmark.collect()]
     extra = [(900, "seven EIGHT nine"), (901, None), (None, "one two"), (902, "!!"), (903, "one two three four five six seven eight nine ten"), (903, "zß")]
