@@ -48,7 +48,8 @@ def test_sharding(spark, odd, empty, corpus, monkeypatch):
         assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
-def brute_mix(rows, pattern=(5, 2, 1), share=1.5, cap=2.0):
+def brute_copies(rows, pattern=(5, 2, 1), share=1.5, cap=2.0):
+    """For each row (doc_id, text, source): doc_id, size, source_size, target, copies, text."""
     sizes = [(i, s, len(re.findall(r"[^\x20\x09-\x0D]+", t or "")), t) for i, t, s in rows]
     total = defaultdict(int)
     for _, s, n, _ in sizes:
@@ -77,13 +78,17 @@ def brute_mix(rows, pattern=(5, 2, 1), share=1.5, cap=2.0):
                 u = (int(hashlib.md5(f"mix{name}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
                 mean = None if t is None else max(len(t) / max(n, 1), 1e-9)
                 quality = 0.25 if t is None else max(0.25, min(1.0, mean / 3, 13 / mean))
-                own.append((-math.log(u) / quality, i, n))
+                own.append((-math.log(u) / quality, i, n, t))
         epochs = int(target[s] // total[s]) if total[s] else 0
         rest, before = target[s] - epochs * total[s], 0
-        for _, i, n in sorted(own, key=lambda x: (x[0], -(1 << 63) if x[1] is None else x[1])):
-            out.append((i, n, total[s], round(target[s], 6), n * (epochs + (before + n / 2 < rest and rest > 0))))
+        for _, i, n, t in sorted(own, key=lambda x: (x[0], -(1 << 63) if x[1] is None else x[1])):
+            out.append((i, n, total[s], round(target[s], 6), epochs + (before + n / 2 < rest and rest > 0), t))
             before += n
-    return sorted(out, key=str)
+    return out
+
+
+def brute_mix(rows):
+    return sorted(((i, n, of, target, n * copies) for i, n, of, target, copies, _ in brute_copies(rows)), key=str)
 
 
 def test_mixing(odd, empty, corpus):

@@ -164,24 +164,46 @@ def brute_path(scores, switch):
     return max(best, key=lambda x: x[0])[1]
 
 
-def brute_language(model, text):
-    """Language and score of a text, word by word."""
-    is_letter, script = language_id._tables()
+def brute_words(text):
+    """Of each word: its letters, its script, and the buckets of its pairs and triples."""
+    script = language_id._tables()[1]
     lowered = (text or "").lower()
     c = [ord(x) if x.isalpha() else 32 for x in lowered] + [32]
-    mask, shift = (1 << 64) - 1, 64 - language_id.BUCKETS.bit_length() + 1
+    mask, shift, at = (1 << 64) - 1, 64 - language_id.BUCKETS.bit_length() + 1, 0
     prior = lambda i: c[i] if i >= 0 else 32
+    bucket = lambda x: ((x * 0x9E3779B97F4A7C15) & mask) >> shift
+    while at < len(c):
+        end = at
+        while c[end] != 32:
+            end += 1
+        if end > at:
+            grams = []
+            for i in range(at, end + 1):
+                two = (prior(i - 1) * 0x9E3779B1 + c[i]) & mask
+                grams += [bucket(two), bucket((two + prior(i - 2) * 0x85EBCA6B) & mask) + language_id.BUCKETS]
+            yield end - at, int(script[c[at]]), grams
+        at = end + 1
+
+
+def brute_counts(docs):
+    counts, scripts = {}, {}
+    for lang, text in docs:
+        if lang is not None and text is not None:
+            own, used = counts.setdefault(lang, Counter()), scripts.setdefault(lang, Counter())
+            for _, script, grams in brute_words(text):
+                used[script] += 1
+                own.update(grams)
+    return counts, scripts
+
+
+def brute_language(model, text):
+    """Language and score of a text, word by word."""
     scores, sizes = [], []
-    for m in re.finditer(r"[^\W\d_]+", "".join(chr(x) if x != 32 else " " for x in c)):
-        total = np.zeros(len(model.languages))
-        for i in range(m.start(), m.end() + 1):
-            two = (prior(i - 1) * 0x9E3779B1 + c[i]) & mask
-            total += model.log_p[((two * 0x9E3779B97F4A7C15) & mask) >> shift]
-            three = (two + prior(i - 2) * 0x85EBCA6B) & mask
-            total += model.log_p[(((three * 0x9E3779B97F4A7C15) & mask) >> shift) + language_id.BUCKETS]
-        allowed = model.scripts[script[c[m.start()]]]
+    for size, script, grams in brute_words(text):
+        total = model.log_p[grams].astype(np.float64).sum(axis=0)
+        allowed = model.scripts[script]
         scores.append(np.where(allowed | ~allowed.any(), total, -1e6))
-        sizes.append(m.end() - m.start())
+        sizes.append(size)
     if not scores:
         return "und", 0.0
     letters = Counter()
@@ -197,6 +219,12 @@ def test_language_against_word_by_word(spark, corpus, odd, monkeypatch, chunk):
     model = language_id.fit(corpus)
     monkeypatch.setattr(language_id, "CHUNK", 1 << 20)
     again = language_id.fit(corpus)
+    counts, scripts = brute_counts([(r.lang, r.text) for r in corpus.collect()])
+    for k, lang in enumerate(again.languages):
+        for half in (slice(0, language_id.BUCKETS), slice(language_id.BUCKETS, 2 * language_id.BUCKETS)):
+            n = np.array([counts[lang][b] for b in range(half.start, half.stop)])
+            assert np.allclose(again.log_p[half, k], np.log((n + language_id.SMOOTH) / (n.sum() + language_id.SMOOTH * language_id.BUCKETS)))
+        assert again.scripts[:, k].tolist() == [scripts[lang][x] >= max(1, language_id.SCRIPT_SHARE * scripts[lang].total()) for x in range(len(again.scripts))]
     assert (model.log_p == again.log_p).all() and (model.scripts == again.scripts).all()
     texts = {(r.doc_id, r.text) for df in (corpus, odd) for r in df.collect() if len(r.text or "") < 6000}
     texts |= {(900 + i, " ".join((t or "")[:150] for _, t in sorted(texts, key=str)[i : i + 6])) for i in range(20)}
