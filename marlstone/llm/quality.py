@@ -71,7 +71,7 @@ def base(text: bytes) -> tuple[int, int, int, int, int, bool]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed of a UTF-8 text."""
     words = text.split()
     solid = text.translate(None, _SKIPPED)
-    chars = len(solid) if solid.isascii() else len(solid.decode())
+    chars = len(solid) if solid.isascii() else len(solid.decode("utf-8", "replace"))
     lines = [x for x in text.split(b"\n") if not x.isspace() and x]
     repeats = repeat_words(words)
     n = len(words)
@@ -104,7 +104,7 @@ class Bands:
 
 
 def judge_quality(docs: DataFrame, level: int = LEVEL) -> DataFrame:
-    """One row per row of docs (doc_id, text): the FIELDS.
+    """One row per row of docs (doc_id, text): the FIELDS. Bytes that aren't UTF-8 count as the replacement character.
 
     Words are `[^\\x20\\x09-\\x0D]+`. A null or empty text has no words, so base_failed is true and kept false. kept is
     false if base_failed; otherwise it is the verdict of the bands. Whole texts of any length; repeated rows give

@@ -130,7 +130,7 @@ def count_tokens(docs: DataFrame, model: str, budget: int = 4096, prefixes: bool
 
     within: characters of the longest prefix of at most budget tokens. deltas: one signed byte for the dummy prefix
     and each character; their running sum is the token count of every prefix (tokens_at, longest_within). Null text
-    counts as empty: 0 tokens. Whole texts, of any length; repeated rows give repeated rows; other columns are
+    counts as empty: 0 tokens; bytes that aren't UTF-8 count as the replacement character. Whole texts, of any length; repeated rows give repeated rows; other columns are
     ignored. Each row is computed alone, so nothing is shuffled.
     """
     fields = [("doc_id", "long"), ("n_bytes", "long"), ("n_tokens", "long"), ("within", "long")] + [("deltas", "binary")] * prefixes
@@ -142,12 +142,13 @@ def count_tokens(docs: DataFrame, model: str, budget: int = 4096, prefixes: bool
         for batch in batches:
             rows = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = text.as_py() or ""
+                raw = text.as_py() or b""
+                text = raw.decode("utf-8", "replace")
                 d = counter.deltas(text)
                 n = int(np.frombuffer(d, dtype=np.int8).sum(dtype=np.int64))
-                row = (i, len(text.encode()), n, len(text) if n <= budget else longest_within(d, budget))
+                row = (i, len(raw), n, len(text) if n <= budget else longest_within(d, budget))
                 rows.append(row + (d,) * prefixes)
             kinds = {"long": pa.int64(), "binary": pa.binary()}
             yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)] if rows else [pa.array([], kinds[k]) for _, k in fields], names=[n for n, _ in fields])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, ", ".join(f"{n} {k}" for n, k in fields))
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, ", ".join(f"{n} {k}" for n, k in fields))

@@ -15,8 +15,8 @@ from .common import ascii_lower
 BITS_PER_KEY, WORDS = 16, 8
 #: Odd multipliers below 2^31 that give the bit of each word.
 SALTS = [1203114875, 1150766481, 1142052525, 1364956239, 1884591559, 770785867, 1333666979, 1550580529]
-#: A filter of at most so many bytes is broadcast; a larger one is joined by its block numbers through a shuffle.
-BROADCAST_BYTES = 8 << 20
+#: A filter has so many bytes at most, whatever the list, so it is always broadcast. Longer lists have fewer bits per entry: more probes pass, and the exact join removes them.
+MOST_BYTES = 16 << 20
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -51,7 +51,7 @@ def listed(rows: DataFrame, entries: DataFrame) -> DataFrame:
     entries = entries.select(F.coalesce("host", F.lit("")).alias("h"), F.coalesce("path", F.lit("")).alias("p"), F.col("verdict").alias("v")).where("h <> ''")
     entries = entries.groupBy("h", "p").agg(F.min("v").alias("v")).withColumn("key", F.concat_ws("\n", "h", "p"))
     told = entries.agg(F.count(F.lit(1)), F.collect_set(F.length("p"))).first()  # a count, and lengths of paths
-    blocks = max(1, -(-told[0] * BITS_PER_KEY // (32 * WORDS)))
+    blocks = max(1, min(-(-told[0] * BITS_PER_KEY // (32 * WORDS)), MOST_BYTES // (4 * WORDS)))
     lengths = F.array(*[F.lit(x) for x in sorted(told[1])]).cast("array<int>")
 
     labels = F.split("host", "\\.", -1)
@@ -61,9 +61,7 @@ def listed(rows: DataFrame, entries: DataFrame) -> DataFrame:
     probes = rows.where("host <> ''").select("host", "path").distinct().select("host", "path", F.explode(keys).alias("key"))
 
     block, bits = _bits(F.col("key"), blocks)
-    bloom = blocked_bloom(entries, blocks)
-    if blocks * WORDS * 8 <= BROADCAST_BYTES:
-        bloom = F.broadcast(bloom)
+    bloom = F.broadcast(blocked_bloom(entries, blocks))
     possible = probes.select("*", block.alias("block"), *[b.alias(f"b{i}") for i, b in enumerate(bits)]).join(bloom, "block")
     for i in range(WORDS):
         possible = possible.where(F.call_function("shiftrightunsigned", F.col(f"w{i}"), F.col(f"b{i}")).bitwiseAND(F.lit(1).cast("long")) == 1)

@@ -138,15 +138,17 @@ def test_url_filter(spark, monkeypatch):
     pages = spark.createDataFrame([(i, u, "clash", "clash") for i, u in enumerate(URLS + URLS)], "page_id long, url string, host string, key string")
     pages = pages.unionByName(spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select((F.col("page_id") + 100).alias("page_id"), "url"), allowMissingColumns=True)
     told = {r.page_id: r.url for r in pages.collect()}
-    for limit in (url_filter.BROADCAST_BYTES, 0):
-        monkeypatch.setattr(url_filter, "BROADCAST_BYTES", limit)
+    for limit in (url_filter.MOST_BYTES, 0):  # a filter of one block passes nearly everything
+        monkeypatch.setattr(url_filter, "MOST_BYTES", limit)
         got = url_filter.judge_urls(pages, rules).collect()
         assert len(got) == len(told) and all((r.host, r.path, r.rule, r.verdict) == judged(told[r.page_id]) for r in got)
     assert url_filter.judge_urls(pages.limit(0), rules).count() == 0
     assert {r.verdict for r in url_filter.judge_urls(pages, rules.limit(0)).collect()} == {"allow"}
 
 
-def test_blocked_bloom_has_no_false_negatives(spark):
+@pytest.mark.parametrize("most", [url_filter.MOST_BYTES, 320])
+def test_blocked_bloom_has_no_false_negatives(spark, monkeypatch, most):
+    monkeypatch.setattr(url_filter, "MOST_BYTES", most)
     listed = spark.range(3000).select(F.concat(F.lit("h"), "id", F.lit(".com")).alias("host"), F.lit("/").alias("path"), F.lit("block").alias("verdict"))
     pages = spark.range(6000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), "id", F.lit(".com/x")).alias("url"))
     got = url_filter.judge_urls(pages, listed).groupBy("verdict").count().collect()

@@ -279,6 +279,36 @@ def brute_base(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(hit), len(w) < 50 or 100 * len(hit) > 50 * len(w)
 
 
+def brute_kept(text):
+    """The verdict from the limits as they are written."""
+    import zstandard
+
+    raw = (text or "").encode()
+    if brute_base(text)[-1]:
+        return False
+    wide = lambda b: sum(x > 127 for x in b) > len(b) / 3
+    squeezed = lambda b: len(b) / len(zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False).compress(b))
+
+    def outside(b, bands):
+        band = max((x for x in bands if x[0] <= len(b)), default=None)
+        return band is not None and not band[2 if wide(b) else 1] <= squeezed(b) <= band[3]
+
+    chunks = [raw[i : i + 4096] for i in range(0, len(raw), 4096)]
+    bad = sum(len(c) for c in chunks if outside(c, [x for x in quality.WHOLE if 256 <= x[0] <= 4096]))
+    return not outside(raw, quality.WHOLE) and bad <= 0.5 * len(raw)
+
+
+def test_quality_verdicts(spark, corpus, odd):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices(string.ascii_lowercase, k=rng.randint(2, 9)))
+    some = [r.text for r in corpus.collect() if r.text]
+    made = [" ".join(rng.choice([word(), rng.choice(some)[:200], "again and again", base64.b64encode(rng.randbytes(30)).decode(), "слово других языков"]) for _ in range(rng.choice([20, 60, 200, 900]))) for _ in range(150)]
+    df = spark.createDataFrame([(5000 + i, t) for i, t in enumerate(made)], "doc_id long, text string").unionByName(corpus.select("doc_id", "text")).unionByName(odd.select("doc_id", "text"))
+    told = Counter((r.doc_id, brute_kept(r.text)) for r in df.collect())
+    assert Counter((r.doc_id, r.kept) for r in quality.judge_quality(df).collect()) == told
+    assert len({kept for (i, kept) in told if i and i >= 5000}) == 2
+
+
 def test_quality(spark, odd, empty, corpus):
     noise = "".join(random.Random(1).choice("".join(map(chr, range(0x4E00, 0x9FFF)))) + " " * (i % 4 == 0) for i in range(4000))
     rest = spark.createDataFrame([(500, "ab cd\n" * 300), (501, noise), (502, "a b c a b c x\n \na b"), (503, "same line\nsame line\n　\n　")], "doc_id long, text string")
@@ -438,3 +468,14 @@ def test_token_counts(spark, odd, empty, corpus):
         text = {r.doc_id: r.text or "" for r in df.collect()}
         assert all(r.within == max(i for i, n in enumerate(counter.prefix_counts(text[r.doc_id])) if n <= 20) for r in got)
     assert token_counts.count_tokens(empty, path).count() == 0
+
+
+def test_bytes_that_are_not_utf8(spark):
+    import public_tokenizers
+
+    bad = spark.sql("SELECT * FROM VALUES (1L, CAST(X'ff61fe20626162' AS STRING)), (2L, 'clean text of some words') AS t(doc_id, text)")
+    benchmark = spark.createDataFrame([(1, "text of")], "item_id long, text string")
+    assert token_counts.count_tokens(bad, public_tokenizers.path("piece_bpe_32k.model")).count() == 2
+    assert quality.judge_quality(bad).count() == 2 and near_dup.keep_one(bad).count() == 2
+    assert {r.doc_id: r.n_hit for r in decontaminate.find_leaks(bad, benchmark, cut=True).collect()} == {1: 0, 2: 2}
+    assert suffix_dedup.dedup_substrings(bad).count() == 2
