@@ -55,10 +55,15 @@ def terms(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), _CUT), "")
 
 
+def _among(column: str, words: list[str]) -> Column:
+    """The elements of an array that are among these terms, as one piece of SQL: a call for each of thousands of literals takes seconds."""
+    return F.expr(f"filter({column}, t -> t IN ({', '.join(map(repr, words))}))" if words else "CAST(array() AS array<string>)")
+
+
 def _frequencies(files: DataFrame, vocabulary: list[str]) -> tuple[dict[str, int], int]:
     """Files that have each term of the vocabulary, and all files, from one scan; as many rows as that has, whatever the size of the corpus."""
-    mine = F.array_distinct(F.filter(terms(F.col("text")), lambda t: t.isin(vocabulary)))
-    told = files.select(F.explode(F.concat(mine, F.array(F.lit("")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    mine = F.array_distinct(_among("w", vocabulary))
+    told = files.select(terms(F.col("text")).alias("w")).select(F.explode(F.concat(mine, F.array(F.lit("")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     found = {r["term"]: r["df"] for r in told.collect()}
     return found, found.pop("", 0)
 
@@ -130,16 +135,15 @@ class _Bodies:
         self.terms = sorted({t for c in bodies.values() for t in c})
         self.idf = [(t, idf(t)) for t in self.terms]
 
-    def own(self, w: Column) -> Column:
-        """The distinct body terms among words."""
-        return F.array_distinct(F.filter(w, lambda t: t.isin(self.terms))) if self.terms else F.array().cast("array<string>")
+    def own(self, w: str) -> Column:
+        """The distinct body terms among the words of a column."""
+        return F.array_distinct(_among(w, self.terms))
 
-    def fits(self, own: Column) -> Column:
+    def fits(self, own: str) -> Column:
         """Whether a file with these distinct body terms can reach the cosine with a body."""
-        count = lambda some: F.size(F.filter(own, lambda t: t.isin(some)))
         fits = F.lit(False)
         for need, classes in self.classes:
-            fits = fits | (sum((count(some) * F.lit(w) for w, some in classes), F.lit(0.0)) >= need)
+            fits = fits | (sum((F.size(_among(own, some)) * F.lit(w) for w, some in classes), F.lit(0.0)) >= need)
         return fits
 
     def score(self, units: DataFrame) -> DataFrame:
@@ -192,13 +196,13 @@ def scan_licences(files: DataFrame, known: DataFrame | None = None, cosine: floa
     body = _Bodies(bodies, df, total)
 
     has = lambda w: F.exists(w, lambda t: t.isin(anchors))
-    split = files.select("id", "path", "text", F.xxhash64("text").alias("x"), terms(F.col("text")).alias("w")).withColumn("words", F.size("w")).withColumn("marked", has(F.col("w"))).withColumn("own", body.own(F.col("w")))
+    split = files.select("id", "path", "text", F.xxhash64("text").alias("x"), terms(F.col("text")).alias("w")).withColumn("words", F.size("w")).withColumn("marked", has(F.col("w"))).withColumn("own", body.own("w"))
     split = split.select(
         "id", "path", "x", "words",
         F.when(F.col("marked"), F.filter(F.split("text", "\n"), lambda line: has(terms(line)))).alias("lines"),
         F.when(F.col("marked") & (F.col("words") <= 2 * most), F.array_join("w", " ")).alias("short"),
         F.when(F.col("marked"), _near(F.col("w"), sorted({t for t, _, _ in aligned}), max((n for _, _, n in aligned), default=1))).alias("hits"),
-        F.when(body.fits(F.col("own")), F.col("w")).alias("body"),
+        F.when(body.fits("own"), F.col("w")).alias("body"),
         _identifiers(F.col("text"), names).alias("spdx"),
     )
     split = stored(split, "units")
