@@ -224,11 +224,19 @@ def test_licences_beyond_single_lines(spark):
         (11, "h/a", "the license of the source is a matter of this file and of that work"),
         (12, "k/LICENSE", "Licensed under the\nApache License,\nVersion 2.0."),
         (13, "k/z", ""),
+        (14, "p/a.c", "// This work is licensed under the GNU General Public License, version 2."),
+        (15, "p/b.c", "// This work is licensed under the GNU General Public License, version 3."),
+        (16, "r/LICENSE", (licenses.TEXTS / "Apache-2.0.txt").read_text()),
+        (17, "r/a", "x"),
+        (18, "s/LICENSE", (licenses.TEXTS / "BSD-3-Clause.txt").read_text().replace("<year> <owner>", "2019 Someone")),
+        (19, "s/a", "x"),
+        (20, "t/a", "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version."),
     ]
     files += [(100 + i, f"o/{i}", f"other words of file {i}") for i in range(100)]
     got = {r.id: (r.licence, r.origin) for r in licenses.scan_licences(spark.createDataFrame(files, "id long, path string, text string")).collect()}
     assert {i: v for i, v in got.items() if i < 100} == {
         1: ("MIT", "own"), 2: ("MIT", "inherited"), 3: ("MIT", "own"), 4: ("Apache-2.0", "own"), 5: ("MIT", "own"), 6: ("BSD-3-Clause", "own"), 7: ("GPL-3.0", "own"),
-        8: (None, None), 9: ("GPL-3.0", "own"), 10: ("GPL-3.0", "inherited"), 11: (None, None), 12: ("Apache-2.0", "own"), 13: ("Apache-2.0", "inherited"),
+        8: (None, None), 9: ("GPL-3.0", "own"), 10: ("GPL-3.0", "inherited"), 11: (None, None), 12: ("Apache-2.0", "own"), 13: ("Apache-2.0", "inherited"), 14: ("GPL-2.0", "own"), 15: ("GPL-3.0", "own"), 16: ("Apache-2.0", "own"), 17: ("Apache-2.0", "inherited"),
+        18: ("BSD-3-Clause", "own"), 19: ("BSD-3-Clause", "inherited"), 20: ("LGPL-2.1", "own"),
     }
     assert all(got[100 + i] == (None, None) for i in range(100))
