@@ -28,18 +28,43 @@ class Scan {
     return x ^ (x >>> 31);
   }
 
-  static long[][] runs(byte[] t, int window, int k) {
-    int n = t.length;
-    if (n < window) return new long[0][];
-    int grams = n - k + 1;
-    long[] h = new long[grams];
+  /** Hashes of the k-grams. */
+  static long[] grams(byte[] t, int k) {
+    long[] h = new long[t.length - k + 1];
     long power = 1, x = 0;
     for (int i = 0; i < k; i++) { x = x * M + (t[i] & 255) + 1; if (i > 0) power *= M; }
     h[0] = mix(x);
-    for (int i = 1; i < grams; i++) {
+    for (int i = 1; i < h.length; i++) {
       x = (x - ((t[i - 1] & 255) + 1) * power) * M + (t[i + k - 1] & 255) + 1;
       h[i] = mix(x);
     }
+    return h;
+  }
+
+  /** The distinct anchors in order, without the runs. */
+  static long[] anchors(byte[] t, int window, int k) {
+    if (t.length < window) return new long[0];
+    long[] h = grams(t, k), out = new long[h.length];
+    int wide = window - k + 1, least = -1, m = 0;
+    for (int i = wide - 1; i < h.length; i++) {
+      int at = least;
+      if (least <= i - wide) {
+        at = i - wide + 1;
+        for (int j = at + 1; j <= i; j++) if (h[j] < h[at]) at = j;
+      } else if (h[i] < h[least]) at = i;
+      if (at != least) { out[m++] = h[at]; least = at; }
+    }
+    Arrays.sort(out, 0, m);
+    int d = 0;
+    for (int i = 0; i < m; i++) if (i == 0 || out[i] != out[i - 1]) out[d++] = out[i];
+    return Arrays.copyOf(out, d);
+  }
+
+  static long[][] runs(byte[] t, int window, int k) {
+    int n = t.length;
+    if (n < window) return new long[0][];
+    int grams = n - k + 1;
+    long[] h = grams(t, k);
     long[] sum = new long[n + 1];
     for (int i = 0; i < n; i++) sum[i + 1] = sum[i] * M2 + BYTES[t[i] & 255];
     long[] powers = new long[2 * window + 1];
@@ -193,12 +218,9 @@ public class Kernel {
 /** (text, window, k) -> distinct hashes of its anchors. */
 public class Hashes implements UDF3 {
   public Object call(Object text, Object window, Object k) {
-    long[][] runs = Scan.runs(Kernel.bytes(text), ((Integer) window).intValue(), ((Integer) k).intValue());
-    long[] h = new long[runs.length];
-    for (int i = 0; i < h.length; i++) h[i] = runs[i][0];
-    Arrays.sort(h);
-    ArrayList out = new ArrayList();
-    for (int i = 0; i < h.length; i++) if (i == 0 || h[i] != h[i - 1]) out.add(Long.valueOf(h[i]));
+    long[] h = Scan.anchors(Kernel.bytes(text), ((Integer) window).intValue(), ((Integer) k).intValue());
+    ArrayList out = new ArrayList(h.length);
+    for (int i = 0; i < h.length; i++) out.add(Long.valueOf(h[i]));
     return out;
   }
 }
