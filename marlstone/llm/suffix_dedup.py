@@ -22,8 +22,8 @@ from .common import drop_stored, stored
 from .jvm import register
 from .suffix_kernel import PACKAGE, SOURCE
 
-#: Bytes of a window and of a k-gram; bytes that are suffix-sorted together, about; bytes of contexts of one anchor that aren't split.
-WINDOW, GRAM, SORTED_BYTES, GROUP_BYTES = 50, 16, 1 << 20, 1 << 20
+#: Bytes of a window and of a k-gram; bytes that are suffix-sorted together, about (few, so that a sort stays in the cache); bytes of contexts of one anchor that aren't split.
+WINDOW, GRAM, SORTED_BYTES, GROUP_BYTES = 50, 16, 1 << 16, 1 << 20
 #: The runs of an anchor of more documents than this are aggregated before they are shuffled, and each is a context of its own.
 FREQUENT = 1000
 
