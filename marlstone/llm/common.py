@@ -36,28 +36,34 @@ def _fs(spark: SparkSession, path: str):
 
 
 @contextlib.contextmanager
-def _shuffles_end_with_their_query(spark: SparkSession):
-    """Spark deletes the shuffle files of a query when the query ends, not when the driver's garbage is collected."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    old = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+def _settings(spark: SparkSession, values: dict[str, str]):
+    """These settings of the session, for a time."""
+    old = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if old is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, old)
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, hashed_bytes: int = 0) -> DataFrame:
     """Writes df to the shared folder and reads it back: the lineage ends there and a lost executor costs nothing.
 
-    The table goes with drop_stored(), or else when the driver ends.
+    The table goes with drop_stored(), or else when the driver ends. A join whose shuffled side turns out to have no
+    partition above hashed_bytes is hashed instead of sorted; adaptive execution sees to that at run time.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    with _shuffles_end_with_their_query(spark):
+    # Spark deletes the shuffle files of a query when the query ends, not when the driver's garbage is collected
+    values = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    if hashed_bytes:
+        values["spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"] = str(hashed_bytes)
+    with _settings(spark, values):
         df.write.parquet(path)
     fs, at = _fs(spark, path)
     fs.deleteOnExit(at)

@@ -26,6 +26,8 @@ from .suffix_kernel import PACKAGE, SOURCE
 WINDOW, GRAM, SORTED_BYTES, GROUP_BYTES = 50, 16, 1 << 16, 1 << 20
 #: The runs of an anchor of more documents than this are aggregated before they are shuffled, and each is a context of its own.
 FREQUENT = 1000
+#: A join is hashed if no partition of one of its sides, whose rows are hashes and places, is larger than this.
+HASHED_BYTES = 64 << 20
 
 _LONG, _INT = T.LongType(), T.IntegerType()
 
@@ -46,6 +48,10 @@ def install(spark: SparkSession) -> None:
     register(spark, SOURCE, PACKAGE, {"marlstone_hashes": ("Hashes", T.ArrayType(_LONG)), "marlstone_runs": ("Runs", _RUNS), "marlstone_pick": ("Pick", _CONTEXTS), "marlstone_earlier": ("Earlier", _TOLD), "marlstone_cut": ("Cut", _CUT), "marlstone_suffix_order": ("Order", T.ArrayType(_INT))})
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    return stored(df, name, HASHED_BYTES)
+
+
 def _halves(contexts: DataFrame, window: int) -> DataFrame:
     """h, c, shift and the contexts that the two halves of each context's windows are: h2, c2, at, g, first, last, bytes.
 
@@ -67,21 +73,21 @@ def _halves(contexts: DataFrame, window: int) -> DataFrame:
 def _told(contexts: DataFrame, window: int) -> DataFrame:
     """contexts: h, c, first, last, at, g, bytes, pieces. h, c, a, b, low: the windows of a piece that a document before its last one has, and the least such document."""
     sizes = contexts.where("at >= 0").groupBy("h").agg(F.sum(F.length("bytes") + 1).alias("size"))
-    hot = stored(sizes.where(F.col("size") > GROUP_BYTES).select("h"), "hot")
+    hot = _stored(sizes.where(F.col("size") > GROUP_BYTES).select("h"), "hot")
     few, split = contexts, hot.limit(1).count() > 0
     if split:
         few = contexts.join(hot, "h", "left_anti")
     total = few.agg(F.sum(F.length("bytes") + 1)).first()[0] or 0
     bucket = F.pmod("h", F.lit(max(1, -(-total // SORTED_BYTES))))
     laid = few.groupBy(bucket.alias("bucket")).agg(F.collect_list(F.struct("h", "c", "first", "last", "bytes", "pieces")).alias("all"))
-    told = stored(laid.select(F.explode(F.call_function("marlstone_earlier", "all", F.lit(window))).alias("r")).select("r.*"), "told")
+    told = _stored(laid.select(F.explode(F.call_function("marlstone_earlier", "all", F.lit(window))).alias("r")).select("r.*"), "told")
     if split:
-        halves = stored(_halves(contexts.where("at >= 0").join(hot, "h"), window), "halves")
+        halves = _stored(_halves(contexts.where("at >= 0").join(hot, "h"), window), "halves")
         own = halves.groupBy(F.col("h2").alias("h"), F.col("c2").alias("c")).agg(F.min("first").alias("first"), F.max("last").alias("last"), F.first(F.struct("at", "g", "bytes")).alias("x"))
-        inner = stored(own.select("h", "c", "first", "last", "x.at", "x.g", "x.bytes", F.lit(None).cast(_rows(*_PIECE)).alias("pieces")), "contexts")
+        inner = _stored(own.select("h", "c", "first", "last", "x.at", "x.g", "x.bytes", F.lit(None).cast(_rows(*_PIECE)).alias("pieces")), "contexts")
         deeper = _told(inner, window).withColumnsRenamed({"h": "h2", "c": "c2"})
         shift = halves.select("h", "c", "h2", "c2", "shift").join(deeper, ["h2", "c2"])
-        found = stored(shift.select("h", "c", (F.col("a") + F.col("shift")).alias("a"), (F.col("b") + F.col("shift")).alias("b"), "low"), "told")
+        found = _stored(shift.select("h", "c", (F.col("a") + F.col("shift")).alias("a"), (F.col("b") + F.col("shift")).alias("b"), "low"), "told")
         drop_stored(halves, inner)
         told = told.unionByName(found)
     drop_stored(hot)
@@ -94,15 +100,15 @@ def earlier_ranges(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     install(spark)
     sizes = (F.lit(window), F.lit(gram))
     hashes = rows.select("u", F.explode(F.call_function("marlstone_hashes", "t", *sizes)).alias("h"))
-    shared = stored(hashes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", (F.col("n") > FREQUENT).alias("frequent")), "anchors")
+    shared = _stored(hashes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", (F.col("n") > FREQUENT).alias("frequent")), "anchors")
     # lists and ranges of a row have nothing twice, however often the row is repeated
     wanted = hashes.join(shared, "h").groupBy("u").agg(F.collect_set(F.when(~F.col("frequent"), F.col("h"))).alias("hs"), F.collect_set(F.when(F.col("frequent"), F.col("h"))).alias("often"))
-    wanted = stored(wanted, "wanted")
+    wanted = _stored(wanted, "wanted")
     drop_stored(shared)
 
     # h and c, 128 bits, stand for the bytes of a run
     runs = rows.join(wanted, "u").select("d", "u", F.explode(F.call_function("marlstone_runs", "t", *sizes, "hs", "often")).alias("r")).select("d", "u", "r.*")
-    runs = stored(runs, "runs")
+    runs = _stored(runs, "runs")
     drop_stored(wanted)
     told = [F.min("d").alias("first"), F.max("d").alias("last"), F.min("u").alias("u")]
     # the anchors that aren't frequent have few rows, so all contents of one can meet
@@ -111,12 +117,12 @@ def earlier_ranges(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     few = few.select("*", F.count(F.lit(1)).over(anchor).alias("m"), F.min("first").over(anchor).alias("low"), F.max("last").over(anchor).alias("high")).where("low < high")
     firsts = few.select("h", "c", "first", "last", "u", (F.col("m") == 1).alias("single"))
     firsts = firsts.unionByName(runs.where("frequent").groupBy("h", "c").agg(*told).withColumn("single", F.lit(False)))
-    own_lists = stored(firsts.groupBy("u").agg(F.collect_list(F.struct("h", "c", "first", "last", "single")).alias("cs")), "own")
+    own_lists = _stored(firsts.groupBy("u").agg(F.collect_list(F.struct("h", "c", "first", "last", "single")).alias("cs")), "own")
     # contexts of a row that repeats are there as often as the row
     often = rows.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("u", F.lit(True).alias("repeats"))
     own = own_lists.join(often, "u", "left").select("u", "cs", F.coalesce("repeats", F.lit(False)).alias("repeats"))
     picked = rows.select("u", "t").join(own, "u").select("repeats", F.explode(F.call_function("marlstone_pick", "t", *sizes, "cs")).alias("p"))
-    picked = stored(picked.select("repeats", "p.*", F.lit(gram).alias("g")), "contexts")
+    picked = _stored(picked.select("repeats", "p.*", F.lit(gram).alias("g")), "contexts")
     drop_stored(own_lists)
     again = picked.where("repeats").groupBy("h", "c").agg(F.first(F.struct("first", "last", "at", "bytes", "pieces", "g")).alias("x")).select("h", "c", "x.*")
     contexts = picked.where("not repeats").drop("repeats").unionByName(again)
@@ -124,7 +130,7 @@ def earlier_ranges(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     told = _told(contexts, window)
     drop_stored(picked)
     found = runs.select("d", "u", "h", "c").join(told, ["h", "c"]).where("low < d").groupBy("u").agg(F.collect_set(F.struct("h", "c", "a", "b")).alias("ranges"))
-    ranges = stored(found, "ranges")
+    ranges = _stored(found, "ranges")
     drop_stored(runs, told)
     return ranges
 
